@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import quality, quantiles, tokens
+from leafmill.llm import personal, quality, quantiles, tokens
 from leafmill.tables import table, unique_pages
 
 
@@ -44,6 +44,15 @@ def p3_percentiles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.page_percentiles(pages, ["source", "day"])
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found_pieces(table(spark, sf_dir, "pages", "page_id", "text"))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.leafmill.pseudonym.key", "leafmill").encode()
+    return personal.redacted(unique_pages(spark, sf_dir, "text"), key)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -68,6 +77,8 @@ QUERIES = {
     "p3_percentiles_by_source": p3_percentiles_by_source,
     "p3_percentiles_by_folder": p3_percentiles_by_folder,
     "p3_percentiles_by_day": p3_percentiles_by_day,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p8_ids": p8_ids,
 }
 
