@@ -171,3 +171,18 @@ def page_percentiles(pages: DataFrame, groups: Sequence[str], permille: Sequence
     base = pages.withColumn("_known", known).select(*groups, day.alias("_day"), F.expr("stack(2, 'confidence', confidence, 'duration_ms', _known) as (metric, v)"))
     summary = pieces(base, keys, F.col("_day"), F.col("v"))
     return multi_select(summary, keys, permille)
+
+
+def grouping_percentiles(pages: DataFrame, permille: Sequence[int] = (250, 500, 900, 990)) -> DataFrame:
+    """Percentiles of pages per source, source and folder, source and day, and all three.
+
+    The finest pieces (source, folder and day) are made once; those of the coarser groupings are put together from them.
+    """
+    known = F.when(F.col("duration_ms") >= 0, F.col("duration_ms").cast("double"))
+    base = pages.withColumn("day", F.to_date("read_at")).withColumn("_known", known)
+    base = base.select("source", "folder", "day", F.expr("stack(2, 'confidence', confidence, 'duration_ms', _known) as (metric, v)"))
+    finest = materialise(pieces(base, ["metric", "source", "folder", "day"], F.col("day"), F.col("v")).drop("piece"), "finest")
+    none, no_day = F.lit(None).cast("string"), F.lit(None).cast("date")
+    sets = [("source", none, no_day), ("source, folder", F.col("folder"), no_day), ("source, day", none, F.col("day")), ("source, folder, day", F.col("folder"), F.col("day"))]
+    all_sets = combined(*[finest.select(F.lit(name).alias("grouping"), "metric", "source", f.alias("folder"), d.alias("day"), "value", "n") for name, f, d in sets])
+    return multi_select(all_sets, ["grouping", "metric", "source", "folder", "day"], permille)

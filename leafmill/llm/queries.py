@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import personal, quality, quantiles, tokens
+from leafmill.llm import personal, quality, quantiles, repair, tokens
 from leafmill.tables import table, unique_pages
 
 
@@ -29,6 +29,12 @@ def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_quality(pages, _function_words(spark, sf_dir), ["page_id", "needs_review"])
 
 
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every grouping at once: per source, per source and folder, per source and day, and per all three."""
+    pages = unique_pages(spark, sf_dir, "folder", "source", "read_at", "confidence", "duration_ms")
+    return quantiles.grouping_percentiles(pages)
+
+
 def p3_percentiles_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = unique_pages(spark, sf_dir, "source", "read_at", "confidence", "duration_ms")
     return quantiles.page_percentiles(pages, ["source"])
@@ -53,6 +59,18 @@ def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.redacted(unique_pages(spark, sf_dir, "text"), key)
 
 
+def _page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages", "page_id", "file_id", "page_no", "text", "low_confidence_words")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.found_noise(_page_text(spark, sf_dir))
+
+
+def p7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(_page_text(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -74,15 +92,29 @@ from r, t where rn = greatest(1, (n * p + 999) // 1000)
 QUERIES = {
     "p2_found": p2_found,
     "p2_statistics": p2_statistics,
+    "p3_percentiles": p3_percentiles,
     "p3_percentiles_by_source": p3_percentiles_by_source,
     "p3_percentiles_by_folder": p3_percentiles_by_folder,
     "p3_percentiles_by_day": p3_percentiles_by_day,
     "p6_found": p6_found,
     "p6_redacted": p6_redacted,
+    "p7_found": p7_found,
+    "p7_paragraphs": p7_paragraphs,
     "p8_ids": p8_ids,
 }
 
+_SETS_SQL = " union all ".join(
+    f"select '{name}' as grouping, metric, source, {f} as folder, {d} as day, p, n, value, error_bound from ({_percentile_sql(groups)})"
+    for name, groups, f, d in (
+        ("source", "source", "cast(null as varchar)", "cast(null as date)"),
+        ("source, folder", "source, folder", "folder", "cast(null as date)"),
+        ("source, day", "source, day", "cast(null as varchar)", "day"),
+        ("source, folder, day", "source, folder, day", "folder", "day"),
+    )
+)
+
 ORACLE = {
+    "p3_percentiles": _SETS_SQL,
     "p3_percentiles_by_source": _percentile_sql("source"),
     "p3_percentiles_by_folder": _percentile_sql("source, folder"),
     "p3_percentiles_by_day": _percentile_sql("source, day"),
