@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import personal, quality, quantiles, repair, tokens
+from leafmill.llm import leaks, personal, quality, quantiles, repair, subjects, tokens
 from leafmill.tables import table, unique_pages
 
 
@@ -75,6 +75,22 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "bench_items", "item_id", "text"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r[0] for r in table(spark, sf_dir, "subjects", "subject").where("subject is not null").distinct().orderBy("subject").limit(1_000).collect()]
+    words = frozenset(w for own in _function_words(spark, sf_dir).values() for w in own)
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return subjects.subjects_of(documents, table(spark, sf_dir, "doc_labels", "doc_id", "subject", "labelled_by"), names, words)
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by subject: the measure of the corpus."""
+    return p10_found(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def _percentile_sql(groups: str, extra: str = "") -> str:
     return f"""
 with u as (select distinct on (page_id) page_id, source, folder, confidence, duration_ms, cast(read_at as date) as day from pages),
@@ -101,6 +117,9 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_paragraphs": p7_paragraphs,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
 }
 
 _SETS_SQL = " union all ".join(
