@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import leaks, personal, quality, quantiles, repair, subjects, tokens
+from leafmill.llm import history, leaks, personal, quality, quantiles, repair, subjects, tokens
 from leafmill.tables import table, unique_pages
 
 
@@ -50,6 +50,12 @@ def p3_percentiles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.page_percentiles(pages, ["source", "day"])
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "files", "work_dir", "relpath", "file_id", "sha256")
+    ledger = table(spark, sf_dir, "ledger", "work_dir", "relpath", "sha256")
+    return history.duplicate_pairs(files, ledger, table(spark, sf_dir, "pages", "page_id", "file_id", "page_no", "text"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.found_pieces(table(spark, sf_dir, "pages", "page_id", "text"))
 
@@ -112,6 +118,7 @@ QUERIES = {
     "p3_percentiles_by_source": p3_percentiles_by_source,
     "p3_percentiles_by_folder": p3_percentiles_by_folder,
     "p3_percentiles_by_day": p3_percentiles_by_day,
+    "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_redacted": p6_redacted,
     "p7_found": p7_found,
