@@ -116,7 +116,7 @@ def changed_per_run(files: DataFrame, ledger: DataFrame, runs: DataFrame) -> Dat
     # one group per key: at most one recorded row per slot and one current row per run
     rows = h.select("work_dir", "relpath", F.struct(F.col("slot").alias("at"), F.lit(None).cast("string").alias("run_id"), F.col("recorded_at"), "content", "mtime").alias("x"))
     rows = rows.unionByName(
-        current.select("work_dir", "relpath", F.struct(F.col("started_at").alias("at"), "run_id", F.lit(None).cast("timestamp").alias("recorded_at"), "content", "mtime").alias("x"))
+        current.select("work_dir", "relpath", F.struct(F.col("started_at").alias("at"), "run_id", F.lit(None).cast(ledger.schema["recorded_at"].dataType).alias("recorded_at"), "content", "mtime").alias("x"))
     )
     grouped = rows.groupBy("work_dir", "relpath").agg(F.collect_list("x").alias("xs"))
     picked = grouped.select(
