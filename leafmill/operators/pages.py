@@ -59,7 +59,7 @@ def page_report(pages: DataFrame) -> DataFrame:
         F.when(F.col("needs_review"), "yes").otherwise("").alias("needs_review"),
         F.coalesce("review_reason", F.lit("")).alias("review_reason"),
         F.when(F.coalesce("rotation_applied", F.lit(0)) == 0, "").otherwise(F.col("rotation_applied").cast("string")).alias("rotated"),
-        F.format_string("%.1f", F.bround(F.coalesce(F.col("duration_ms"), F.lit(0)) / 1000.0, 1)).alias("seconds"),
+        F.format_string("%.1f", F.bround(F.greatest(F.coalesce(F.col("duration_ms"), F.lit(0)), F.lit(0)) / 1000.0, 1)).alias("seconds"),
         F.coalesce("error", F.lit("")).alias("error"),
     )
 

@@ -10,6 +10,7 @@ from leafmill.operators import identity, layout, ledger, pages, progress, rescue
 from leafmill.plans.reference_sql import ORACLE
 from leafmill.settings import RESERVED, SUFFIXES
 from leafmill.sources import readings
+from leafmill.streaming.events import events_stream_totals
 from leafmill.tables import table, unique_pages
 
 QUERY_TEXT = "evidence custodian"
@@ -335,7 +336,7 @@ QUERIES = {
     "search_hits": search_hits, "search_top": search_top, "find_in_document": find_in_document, "highlight": highlight, "eta_throughput": eta_throughput,
     "running_progress": running_progress, "interrupted_status": interrupted_status, "recents": recents, "duration_text": duration_text, "artefact_paths": artefact_paths,
     "safe_paths": safe_paths, "document_text": document_text, "document_json": document_json, "events_filter_log": events_filter_log, "events_by_hour": events_by_hour,
-    "rescue_choice": rescue_choice, "tsv_words": tsv_words, "osd_parse": osd_parse, "dpi_fit": dpi_fit,
+    "events_stream_totals": events_stream_totals, "rescue_choice": rescue_choice, "tsv_words": tsv_words, "osd_parse": osd_parse, "dpi_fit": dpi_fit,
 }
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -41,7 +41,7 @@ ORACLE = {
   case when {CONF} is null then '' else printf('%.1f', round_even({CONF}, 1)) end as confidence, cast({CHARS} as bigint) as chars, {WORDS} as words,
   case when needs_review then 'yes' else '' end as needs_review, coalesce(review_reason, '') as review_reason,
   case when coalesce(rotation_applied, 0) = 0 then '' else cast(rotation_applied as varchar) end as rotated,
-  printf('%.1f', round_even(coalesce(duration_ms, 0) / 1000.0, 1)) as seconds, coalesce(error, '') as error from u""",
+  printf('%.1f', round_even(greatest(coalesce(duration_ms, 0), 0) / 1000.0, 1)) as seconds, coalesce(error, '') as error from u""",
     "document_summary": f"""with {U} select file_id, count(*) filter (source = 'ocr') as ocr_pages, count(*) filter (source = 'text-layer') as text_layer_pages,
   coalesce(string_agg(cast(page_no as varchar), ',' order by page_no) filter (needs_review), '') as flagged, round_even(avg({CONF}), 1) as mean_confidence,
   cast(sum({CHARS}) as bigint) as chars, count(*) as pages_done from u group by 1""",
@@ -144,6 +144,7 @@ select run_id, file_id, duration_ms, size_bytes, case when s < 60 then s || 's'
 select file_id, {STRIP.format("string_agg(part, chr(10) order by page_no, page_id)")} || chr(10) as text from p group by 1""",
     "events_filter_log": "select event_id, user_id, event_type from events where event_type in ('purchase', 'signup', 'error')",
     "events_by_hour": "select date_trunc('hour', ts) as hour, event_type, count(*) as n, round_even(sum(value), 4) as total from events group by 1, 2",
+    "events_stream_totals": "select event_type, count(*) as n, round_even(sum(value), 4) as total from events group by 1",
     "rescue_choice": f"""with {U}, w as (select page_id, text as t0, {CONF} as c0, lead(text, 1) over o as t1, lead({CONF}, 1) over o as c1, lead(text, 2) over o as t2, lead({CONF}, 2) over o as c2,
   lead(text, 3) over o as t3, lead({CONF}, 3) over o as c3 from u window o as (partition by file_id order by page_no, page_id)),
 b as (select *, {", ".join(f"not regexp_matches(coalesce(t{k}, ''), '[^{chr(92)}s{chr(92)}p{{Z}}]') as b{k}" for k in range(4))} from w),
