@@ -150,7 +150,7 @@ class ChangeState:
     it has: a crash at any point leaves one whole version in force.
     """
 
-    POINTER = "_CURRENT"
+    POINTER = "CURRENT"
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str]):
         self.spark, self.root, self.keys = spark, root.rstrip("/"), list(keys)
