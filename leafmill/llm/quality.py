@@ -34,6 +34,9 @@ LETTERS = {
 #: Divergence (bits) of a text's letters from every language's prose beyond which they are in no language.
 GARBLE_AT = 0.16
 
+#: A text of this many different words is no repetition of scraps, however long it is.
+SCRAP_WORDS = 40
+
 # Parts of the structural distribution.
 ITEM, CELL, SYMBOL, SCRAP, GARBLE, SHORT_FUNCTION, SHORT_WORD, LONG_FUNCTION, LONG_WORD = range(9)
 PROFILES: tuple[tuple[str, dict[int, float]], ...] = (
@@ -159,7 +162,7 @@ class Reader:
                 parts[SHORT_FUNCTION if short else LONG_FUNCTION] += weight * function
                 parts[SHORT_WORD if short else LONG_WORD] += weight * (1 - function)
         counts = Counter("".join(letters).translate(_ASCII)) if letters else None
-        if letters and len(letters) >= 8 and len(set(letters)) <= 0.15 * len(letters):
+        if len(letters) >= 8 and (kinds := len(set(letters))) <= 0.15 * len(letters) and kinds < SCRAP_WORDS:
             text_part = sum(parts[SHORT_FUNCTION:])
             parts[SCRAP] += text_part
             parts[SHORT_FUNCTION:] = [0.0] * 4
@@ -173,7 +176,7 @@ def classify(parts: np.ndarray, letters: np.ndarray) -> list[str]:
     known = letters / np.where(total > 0, total, 1)
     far = np.min([jensen_shannon(known, row) for row in _LETTER_ROWS], axis=0)
     # few letters stray by chance; the allowance shrinks as they grow
-    garbled = (total[:, 0] >= 20) & (far > GARBLE_AT + 6.0 / np.maximum(total[:, 0], 1))
+    garbled = (total[:, 0] >= 20) & (far > GARBLE_AT + 4.5 / np.maximum(total[:, 0], 1))
     text = parts[:, SHORT_FUNCTION:].sum(1)
     parts[garbled, GARBLE] += text[garbled]
     parts[garbled, SHORT_FUNCTION:] = 0
