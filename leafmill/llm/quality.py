@@ -32,7 +32,7 @@ LETTERS = {
     "de": (6.5, 1.9, 2.7, 5.1, 16.4, 1.7, 3.0, 4.6, 6.6, 0.27, 1.4, 3.4, 2.5, 9.8, 2.6, 0.67, 0.018, 7.0, 7.3, 6.2, 4.2, 0.85, 1.9, 0.034, 0.039, 1.1),
 }
 #: Divergence (bits) of a text's letters from every language's prose beyond which they are in no language.
-GARBLE_AT = 0.16
+GARBLE_AT = 0.1
 
 #: A text of this many different words is no repetition of scraps, however long it is.
 SCRAP_WORDS = 40
