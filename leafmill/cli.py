@@ -73,10 +73,12 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     from pyspark.sql import SparkSession
 
+    from leafmill.deploy import ship
     from leafmill.runner import run_blocking
     from leafmill.sources.pixels import raster
 
     spark = SparkSession.builder.appName("leafmill").getOrCreate()
+    ship(spark)
     run = run_blocking(spark, settings_of(a), raster, on_event=None if a.quiet else lambda e: print(json.dumps(e)))
     print(json.dumps({"run_id": run.run_id, "status": run.status, **run.totals}))
     return 0 if run.status == "done" else 1
