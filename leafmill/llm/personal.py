@@ -147,7 +147,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     for lo, hi in spans:
         for m in _ID.finditer(body, lo, hi):
             a, kind = m.start(), m.lastgroup
-            before = body[max(0, a - 48) : a]
+            before = _JOIN.sub("", body[max(0, a - 56) : a])
             if kind == "plain" or (kind == "ssn" and "-" not in m.group()):
                 ok = bool(_LABEL.search(before)) or (kind == "ssn" and not _NOT_PHONE_BEFORE.search(before))
             else:
@@ -159,7 +159,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     for lo, hi in spans:
         for m in _PHONE.finditer(body, lo, hi):
             a, b, piece = m.start(), m.end(), m.group()
-            before = body[max(0, a - 32) : a]
+            before = _JOIN.sub("", body[max(0, a - 40) : a])
             if _NOT_PHONE_BEFORE.search(before) or _UNITS_AFTER.match(body, b):
                 continue
             digits = "".join(c for c in piece if c.isdigit())
