@@ -35,12 +35,15 @@ from leafmill.storage import materialise
 #: Hashed vectors, their width, and the most rows either fit uses (labelled documents, then sentences of them).
 SLOTS, WIDTH = 1 << 14, 16
 TRAINING_DOCUMENTS = 20_000
-TRAINING_SENTENCES = 40_000
+TRAINING_SENTENCES = 60_000
 ROUNDS = 25
 #: A sentence has a subject where its surest output is at least this.
 SURE = 0.35
 #: The first fit labels a sentence where its best output leads the next by this much.
 CLEAR = 0.5
+#: Output of a whole text's first subject at least (and of its second at most one less this) to stand for all its sentences,
+#: unless a sentence's own best output is further than NEAR ahead.
+ONLY, NEAR = 0.7, 1.5
 #: Words kept with their outputs per Python worker.
 WORDS_KEPT = 200_000
 
@@ -259,29 +262,39 @@ def train(documents: DataFrame, labels: DataFrame, subjects: Sequence[str], func
         return None
     model = fit(rows, size)
     parts = model.parts
-    documents_n = sample.count()
-    keep = min(1.0, TRAINING_SENTENCES / max(1, documents_n * 8))
+    # the second fit also reads documents nobody labelled: a share of all, by hash, of a bounded expected number
+    share = min(1.0, TRAINING_DOCUMENTS / max(1, documents.count()))
+    pool = documents.where("doc_id is not null and text is not null").where(F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1_000_000)) < int(share * 1_000_000))
+    pool = materialise(pool.select("text").repartition(12), "pool")
+    keep = min(1.0, TRAINING_SENTENCES / max(1, pool.count() * 8))
 
     def sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, block = Scorer(parts, function_words), Block(size)
         for b in batches:
             for text in b["text"].to_pylist():
-                for s in sentences(text):
+                own = [(s, w) for s in sentences(text) if readable(w := words_of(s), function_words)]
+                if not own:
+                    continue
+                each = [sum(map(scorer.word, w)) / len(w) + scorer.bias for _, w in own]
+                # where the whole text speaks clearly of one subject, its sentences are taken to do so too
+                whole = 1 / (1 + np.exp(-np.average(each, axis=0, weights=[len(w) for _, w in own])))
+                top = np.argsort(whole)[::-1]
+                only = int(top[0]) if whole[top[0]] >= ONLY and whole[top[1]] <= 1 - ONLY else None
+                for (s, words), z in zip(own, each):
                     if zlib.crc32(s.encode()) % 10_000 >= keep * 10_000:
                         continue
-                    words = words_of(s)
-                    if not readable(words, function_words):
-                        continue
-                    z = sum(map(scorer.word, words)) / len(words) + scorer.bias
                     best = np.sort(z)[::-1]
-                    block.add(words, [int(z.argmax())] if best[0] - best[1] >= CLEAR else [])
+                    if only is not None and z[only] >= best[0] - NEAR:
+                        block.add(words, [only])
+                    else:
+                        block.add(words, [int(z.argmax())] if best[0] - best[1] >= CLEAR else [])
                     if len(block.starts) >= BLOCK:
                         yield from_rows(_FEATURES, [block.row()])
                         block = Block(size)
         if block.starts:
             yield from_rows(_FEATURES, [block.row()])
 
-    second = materialise(sample.mapInArrow(sentence_rows, _FEATURES), "sentence-features")
+    second = materialise(pool.mapInArrow(sentence_rows, _FEATURES), "sentence-features")
     return fit(second, size, rounds=ROUNDS + 10, model=Model(size))
 
 
