@@ -6,7 +6,7 @@ higher-order functions: no page is collected anywhere, none is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import stripped
@@ -96,3 +96,18 @@ def line_gaps(pages: DataFrame, keys: list[str], words: str = "words") -> DataFr
     df = with_lines(pages, words)
     out = F.transform("lines", lambda ln, i: F.struct(i.alias("line_no"), ln["centre"].alias("centre"), (ln["centre"] - F.get(F.col("lines"), i - 1)["centre"]).alias("gap")))
     return df.select(*keys, F.inline(out))
+
+
+def words_from_chars(chars: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, word_no, word, x0, y0, x1, y1): runs of characters between white space, boxes united, confidence 100.
+
+    ``chars`` has one row per character: keys, pos, c and its box.  A word's
+    number is the count of white space before it, a running sum within the page.
+    """
+    space = ~F.col("c").rlike(r"(?U)\S")
+    run = F.sum(space.cast("int")).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    kept = chars.withColumn("word_no", run).where(~space)
+    letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]), "")
+    return kept.groupBy(*keys, "word_no").agg(
+        letters.alias("word"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.lit(100.0).alias("confidence")
+    )

@@ -87,6 +87,14 @@ def lines_from_words(spark, sf_dir):
     return lines
 
 
+def words_from_chars(spark, sf_dir):
+    """Words of every page from its characters, each in a box ten wide."""
+    p = _pages(spark, sf_dir, "text").where("text is not null")
+    c = p.select("page_id", F.posexplode(F.filter(F.split("text", ""), lambda x: x != "")).alias("pos", "c"))
+    c = c.select("page_id", "pos", "c", (F.col("pos") * 10.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("pos") * 10.0 + 10.0).alias("x1"), F.lit(18.0).alias("y1"))
+    return layout.words_from_chars(c, ["page_id"]).select("page_id", "word", F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"))
+
+
 def natural_sort(spark, sf_dir):
     """Rank of every path in natural path order; ranks are per work dir, so no window holds all rows."""
     f = table(spark, sf_dir, "files", "work_dir", "relpath").distinct()
@@ -329,7 +337,7 @@ QUERIES = {
     "page_report": page_report, "document_summary": document_summary, "run_totals": run_totals, "all_page_totals": all_page_totals, "flag_pages": flag_pages,
     "route_text_layer": route_text_layer, "low_confidence_words": low_confidence_words, "word_char_counts": word_char_counts, "tidy_text": tidy_text,
     "char_width_median": char_width_median, "line_gaps": line_gaps, "laid_out_text": laid_out_text, "lines_from_words": lines_from_words,
-    "natural_sort": natural_sort, "tree_order": tree_order, "path_parts": path_parts, "output_paths": output_paths, "output_basenames": output_basenames,
+    "words_from_chars": words_from_chars, "natural_sort": natural_sort, "tree_order": tree_order, "path_parts": path_parts, "output_paths": output_paths, "output_basenames": output_basenames,
     "content_hash": content_hash, "doc_key": doc_key, "dup_name": _dups("name"), "dup_content": _dups("content"), "dup_off": _dups("off"), "twin_fanout": twin_fanout,
     "ledger_skip": ledger_skip, "ledger_twin": ledger_twin, "ledger_upsert": ledger_upsert, "ledger_backfill": ledger_backfill, "page_expand": page_expand,
     "resume_missing": resume_missing, "merge_resumed": merge_resumed, "folder_tree": folder_tree, "tree_new_done": tree_new_done, "filter_documents": filter_documents,

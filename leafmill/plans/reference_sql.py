@@ -68,6 +68,13 @@ select page_id, round_even(cw, 6) as char_width, round_even(coalesce(lh, cw * 2)
 select page_id, cast(floor(w.y0 / 40) as bigint) as line_key, string_agg(w.text, ' ' order by pos) as line, min(w.x0) as x0, max(w.x1) as x1 from w group by 1, 2""",
     "natural_sort": f"""with f as (select distinct work_dir, relpath from files)
 select work_dir, relpath, row_number() over (partition by work_dir order by list_transform(string_split(relpath, '/'), lambda p: {NAT.format('p')}), relpath) as place from f""",
+    "tree_order": f"""with f as (select distinct work_dir, relpath, string_split(relpath, '/') as parts from files)
+select work_dir, relpath, row_number() over (partition by work_dir order by
+  list_transform(parts, lambda p, i: struct_pack(leaf := case when i = len(parts) then 1 else 0 end, name := {NAT.format('p')})), relpath) as place from f""",
+    "words_from_chars": rf"""with {U}, t as (select page_id, unnest(regexp_extract_all(text, '([^\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+|[\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+)')) as tok, unnest(generate_series(1, len(regexp_extract_all(text, '([^\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+|[\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+)')))) as k
+  from u where text is not null),
+p as (select page_id, tok, k, sum(length(tok)) over (partition by page_id order by k rows between unbounded preceding and current row) as upto from t)
+select page_id, tok as word, cast(10.0 * (upto - length(tok)) as double) as x0, cast(10.0 * upto as double) as x1 from p where not regexp_matches(tok, '^[\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]')""",
     "path_parts": f"""with f as (select distinct relpath as r from files) select r as relpath, {BASE.format('r')} as name, {PARENT.format('r')} as folder, {STEM.format('r')} as stem, {SUFFIX.format('r')} as suffix from f""",
     "output_paths": "with f as (select distinct relpath as r from files), p as (select r, "
     + f"{STEM.format('r')} as s, nullif({PARENT.format('r')}, '') as d from f) select r as relpath, "

@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/leafmill/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/leafmill/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -49,6 +52,14 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clean(spark: SparkSession) -> int:
+    """Deletes every intermediate table this application has written; results not yet read are lost with them."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
+
+
 def file_system(spark: SparkSession, path: str):
     """(Hadoop FileSystem, Path class) for ``path``; works on any store Spark can write to."""
     jvm = spark.sparkContext._jvm
