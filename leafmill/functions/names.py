@@ -71,8 +71,8 @@ def output_basenames(files: DataFrame, order: str, relpath: str = "relpath") ->
 
     Names shared by several documents of a folder take their extension in.  What
     still clashes is numbered in order of discovery.  Only documents whose first
-    choice is taken by another enter the ordered fold, folder by folder; all
-    others are settled by a window over the name.
+    choice is taken by another enter the ordered fold, family by family of names;
+    all others are settled by a window over the name.
     """
     rows = files.select(relpath, order).where(F.col(relpath).isNotNull()).groupBy(relpath).agg(F.min(order).alias("_ord"))
     p = F.col(relpath)
@@ -80,9 +80,12 @@ def output_basenames(files: DataFrame, order: str, relpath: str = "relpath") ->
     same = F.count(F.lit(1)).over(Window.partitionBy("_folder", F.lower("_stem")))
     rows = rows.withColumn("_first", F.when((same > 1) & (F.col("_ext") != ""), F.concat("_stem", F.lit("_"), "_ext")).otherwise(F.col("_stem")))
     rows = rows.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("_folder", F.lower("_first"))))
-    # a folder without any clash needs no fold
-    clash = rows.where("_k > 1").select("_folder").distinct()
-    free = rows.join(clash, "_folder", "left_anti").select(relpath, F.col("_first").alias("base"))
+    # Only names that share their beginning with a clashing name can meet in the numbering: the fold takes
+    # (folder, name without a trailing number) groups, so a large folder is never gathered as a whole.
+    rows = rows.withColumn("_family", F.lower(F.regexp_replace("_first", r"( \([0-9]+\))+$", "")))
+    family = ["_folder", "_family"]
+    clash = rows.where("_k > 1").select(*family).distinct()
+    free = rows.join(clash, family, "left_anti").select(relpath, F.col("_first").alias("base"))
     schema = T.StructType([T.StructField(relpath, T.StringType()), T.StructField("base", T.StringType())])
 
     def fold(pdf):
@@ -98,5 +101,5 @@ def output_basenames(files: DataFrame, order: str, relpath: str = "relpath") ->
 
         return pd.DataFrame(out, columns=[relpath, "base"])
 
-    tied = rows.join(clash, "_folder", "left_semi").groupBy("_folder").applyInPandas(fold, schema)
+    tied = rows.join(clash, family, "left_semi").groupBy(*family).applyInPandas(fold, schema)
     return free.unionByName(tied)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.names import basename
 from leafmill.operators.changed import RECIPE_FIELDS
+from leafmill.operators.identity import recipe_text
 
 TOLERANCE_S = 1.0
 
@@ -48,22 +49,19 @@ def twin_entries(files: DataFrame, entries: DataFrame, wanted: list[str], same_n
     """(run_id, relpath, twin): for each file the first entry, by path, of the same content elsewhere.
 
     The first match is a minimum, so a hash shared by very many entries is folded
-    to its least path per recipe and name before it meets the files.
+    to its two least paths per recipe and name before it meets the files (one of
+    the two is not the file's own); no group of entries is ever gathered.
     """
-    fields = [F.col(f"recipe.{f}").alias(f"_e_{f}") for f in RECIPE_FIELDS]
+    name = [basename(F.col("relpath"))] if same_name else []
+    key = F.concat_ws("|", "sha256", recipe_text("recipe"), *name).alias("_key")
     have = F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), "kinds")) == 0
-    e = entries.where(F.coalesce("sha256", F.lit("")) != "").where(have).select("sha256", F.col("relpath").alias("_path"), basename(F.col("relpath")).alias("_name"), *fields)
-    keys = ["sha256", *[f"_e_{f}" for f in RECIPE_FIELDS], *(["_name"] if same_name else [])]
-    # two least paths are enough: one of them is not the file's own
-    e = e.groupBy(*keys).agg(F.min("_path").alias("_one"), F.array_sort(F.collect_set("_path")).alias("_all")).withColumn("_two", F.get("_all", F.lit(1))).drop("_all")
-    f = files.where(F.coalesce("sha256", F.lit("")) != "")
-    on = (f["sha256"] == e["sha256"])
-    for name in RECIPE_FIELDS:
-        on &= f[f"recipe.{name}"].eqNullSafe(e[f"_e_{name}"])
-    if same_name:
-        on &= basename(f["relpath"]) == e["_name"]
+    known = F.coalesce("sha256", F.lit("")) != ""
+    e = entries.where(known & have).select(key, F.col("relpath").alias("_path"))
+    one = e.groupBy("_key").agg(F.min("_path").alias("_one"))
+    two = e.join(one, "_key").where("_path > _one").groupBy("_key").agg(F.min("_path").alias("_two"))
+    f = files.where(known).select("run_id", "relpath", key).join(one, "_key").join(two, "_key", "left")
     twin = F.when(F.col("_one") != F.col("relpath"), F.col("_one")).otherwise(F.col("_two"))
-    return f.join(e, on).select("run_id", "relpath", twin.alias("twin")).where("twin is not null").groupBy("run_id", "relpath").agg(F.min("twin").alias("twin"))
+    return f.select("run_id", "relpath", twin.alias("twin")).where("twin is not null").groupBy("run_id", "relpath").agg(F.min("twin").alias("twin"))
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
