@@ -9,6 +9,11 @@ from leafmill.functions.text import alnum_count, char_count, is_blank, word_coun
 from leafmill.settings import LOW_WORD, LOW_WORDS_KEPT, MIN_CHARS, MIN_CONFIDENCE, MIN_TEXT_LAYER
 
 
+def chars_of(pages: DataFrame) -> Column:
+    """A ``chars`` column where there is one (counted before texts were dropped), else the text's length."""
+    return F.col("chars") if "chars" in pages.columns else char_count(F.col("text"))
+
+
 def known(c: Column) -> Column:
     """NaN confidences count as unknown."""
     return F.when(~F.isnan(c), c)
@@ -40,16 +45,16 @@ def low_words(words: Column, bar: float = LOW_WORD, most: int = LOW_WORDS_KEPT)
 
 
 def flagged(pages: DataFrame, minimum: float = MIN_CONFIDENCE) -> DataFrame:
-    chars = char_count(F.col("text"))
-    return pages.select("*", review(known(F.col("confidence")), chars, minimum).alias("_r")).withColumns(
+    return pages.select("*", review(known(F.col("confidence")), chars_of(pages), minimum).alias("_r")).withColumns(
         {"needs_review": F.col("_r.needs_review"), "review_reason": F.col("_r.review_reason")}
     ).drop("_r")
 
 
-def page_report(pages: DataFrame) -> DataFrame:
-    """The eleven columns of the page report; every column is ready to print."""
+def page_report(pages: DataFrame, *keys: str) -> DataFrame:
+    """The eleven columns of the page report behind the given keys; every column is ready to print."""
     c = known(F.col("confidence"))
     return pages.select(
+        *keys,
         F.col("relpath").alias("file"),
         F.col("page_no").alias("page"),
         "source",
@@ -71,7 +76,7 @@ def document_summary(pages: DataFrame) -> DataFrame:
         F.count_if(F.col("source") == "text-layer").alias("text_layer_pages"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("needs_review"), F.col("page_no")))), ",").alias("flagged"),
         F.bround(F.avg(c), 1).alias("mean_confidence"),
-        F.sum(char_count(F.col("text"))).alias("chars"),
+        F.sum(chars_of(pages)).alias("chars"),
         F.count(F.lit(1)).alias("pages_done"),
     )
 
@@ -97,7 +102,7 @@ def all_page_totals(pages: DataFrame) -> DataFrame:
         F.count_if(F.col("needs_review")).alias("pages_flagged"),
         F.count_if(F.col("source") == "failed").alias("pages_failed"),
         F.count_if(F.col("source") == "text-layer").alias("pages_from_text_layer"),
-        F.sum(char_count(F.col("text"))).alias("chars"),
+        F.sum(chars_of(pages)).alias("chars"),
     )
 
 

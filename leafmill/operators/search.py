@@ -29,7 +29,11 @@ def top_hits(pages: DataFrame, query: str, limit: int = SEARCH_LIMIT) -> DataFra
     return first.orderBy("file_id", "page_no").limit(limit).crossJoin(F.broadcast(n))  # n is one row
 
 
+def in_pages(pages: DataFrame, query: str) -> DataFrame:
+    """(page_id, file_id, k) of pages that hold the literal; the text goes no further."""
+    return pages.select("page_id", "file_id", occurrences(F.col("text"), query.strip()).alias("k")).where("k > 0").dropDuplicates(["page_id"])
+
+
 def in_documents(pages: DataFrame, query: str) -> DataFrame:
     """(file_id, occurrences, pages) of documents that hold the literal."""
-    rows = pages.select("file_id", occurrences(F.col("text"), query.strip()).alias("k")).where("k > 0")
-    return rows.groupBy("file_id").agg(F.sum("k").alias("occurrences"), F.count(F.lit(1)).alias("pages"))
+    return in_pages(pages, query).groupBy("file_id").agg(F.sum("k").alias("occurrences"), F.count(F.lit(1)).alias("pages"))

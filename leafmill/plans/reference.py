@@ -21,13 +21,24 @@ def _pages(spark, sf_dir, *columns):
     return unique_pages(spark, sf_dir, *columns)
 
 
+def _measured(spark, sf_dir, *outputs, keep=(), reads=()):
+    """Unique pages reduced to the wanted columns and measures *before* repeats are dropped: no text is shuffled."""
+    raw = table(spark, sf_dir, "pages", "page_id", *keep, *[r for r in reads if r not in keep])
+    return raw.select("page_id", *keep, *outputs).dropDuplicates(["page_id"])
+
+
+def _chars():
+    return text.char_count(F.col("text")).alias("chars")
+
+
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ("relpath", "page_no", "source", "confidence", "text", "needs_review", "review_reason", "rotation_applied", "duration_ms", "error")
-    return pages.page_report(_pages(spark, sf_dir, *cols))
+    raw = table(spark, sf_dir, "pages", "page_id", *cols)
+    return pages.page_report(raw, "page_id").dropDuplicates(["page_id"]).drop("page_id")
 
 
 def document_summary(spark, sf_dir):
-    return pages.document_summary(_pages(spark, sf_dir, "file_id", "page_no", "source", "confidence", "text", "needs_review"))
+    return pages.document_summary(_measured(spark, sf_dir, _chars(), keep=("file_id", "page_no", "source", "confidence", "needs_review"), reads=("text",)))
 
 
 def run_totals(spark, sf_dir):
@@ -35,26 +46,24 @@ def run_totals(spark, sf_dir):
 
 
 def all_page_totals(spark, sf_dir):
-    return pages.all_page_totals(_pages(spark, sf_dir, "run_id", "needs_review", "source", "text"))
+    return pages.all_page_totals(_measured(spark, sf_dir, _chars(), keep=("run_id", "needs_review", "source"), reads=("text",)))
 
 
 def flag_pages(spark, sf_dir):
-    return pages.flagged(_pages(spark, sf_dir, "text", "confidence")).select("page_id", "needs_review", "review_reason")
+    return pages.flagged(_measured(spark, sf_dir, _chars(), keep=("confidence",), reads=("text",))).select("page_id", "needs_review", "review_reason")
 
 
 def route_text_layer(spark, sf_dir):
-    p = _pages(spark, sf_dir, "text")
-    return p.select("page_id", pages.route(F.col("text")).alias("route"), text.alnum_count(F.col("text")).alias("alnum"))
+    return _measured(spark, sf_dir, pages.route(F.col("text")).alias("route"), text.alnum_count(F.col("text")).alias("alnum"), reads=("text",))
 
 
 def low_confidence_words(spark, sf_dir):
-    p = _pages(spark, sf_dir, "words").where("words is not null")
-    return p.select("page_id", F.array_join(pages.low_words(F.col("words")), " ").alias("low_words"))
+    low = F.when(F.col("words").isNotNull(), F.array_join(pages.low_words(F.col("words")), " ")).alias("low_words")
+    return _measured(spark, sf_dir, low, reads=("words",)).where("low_words is not null")
 
 
 def word_char_counts(spark, sf_dir):
-    p = _pages(spark, sf_dir, "text")
-    return p.select("page_id", text.word_count(F.col("text")).alias("words"), text.char_count(F.col("text")).alias("chars"))
+    return _measured(spark, sf_dir, text.word_count(F.col("text")).alias("words"), _chars(), reads=("text",))
 
 
 def tidy_text(spark, sf_dir):
@@ -62,8 +71,10 @@ def tidy_text(spark, sf_dir):
 
 
 def char_width_median(spark, sf_dir):
-    p = _pages(spark, sf_dir, "words").where("size(words) > 0")
-    return p.select("page_id", F.bround(layout.char_width(F.col("words")), 6).alias("char_width"), F.bround(layout.line_height(F.col("words")), 6).alias("line_height"))
+    w = F.col("words")
+    n = F.size(w).alias("n")
+    p = _measured(spark, sf_dir, F.bround(layout.char_width(w), 6).alias("char_width"), F.bround(layout.line_height(w), 6).alias("line_height"), n, reads=("words",))
+    return p.where("n > 0").drop("n")
 
 
 def line_gaps(spark, sf_dir):
@@ -218,7 +229,8 @@ def filter_documents(spark, sf_dir):
 
 
 def search_hits(spark, sf_dir):
-    return search.hits(_pages(spark, sf_dir, "file_id", "relpath", "page_no", "source", "text"), QUERY_TEXT)
+    p = table(spark, sf_dir, "pages", "file_id", "relpath", "page_no", "source", "text")
+    return search.hits(p, QUERY_TEXT).dropDuplicates()  # only hits are compared, never the texts
 
 
 def search_top(spark, sf_dir):
@@ -227,7 +239,7 @@ def search_top(spark, sf_dir):
 
 
 def find_in_document(spark, sf_dir):
-    return search.in_documents(_pages(spark, sf_dir, "file_id", "text"), "the")
+    return search.in_documents(table(spark, sf_dir, "pages", "page_id", "file_id", "text"), "the")
 
 
 def highlight(spark, sf_dir):
@@ -276,10 +288,10 @@ def safe_paths(spark, sf_dir):
 
 def document_text(spark, sf_dir):
     """The text file of every document: a marker and the stripped text per page, in page order."""
-    p = _pages(spark, sf_dir, "file_id", "page_no", "source", "text")
+    p = table(spark, sf_dir, "pages", "page_id", "file_id", "page_no", "source", "text")
     body = text.stripped(F.coalesce("text", F.lit("")))
     part = F.concat(F.lit("----- page "), F.col("page_no").cast("string"), F.lit(" ("), "source", F.lit(") -----\n"), body, F.lit("\n"))
-    d = p.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "page_id", part.alias("part")))), lambda x: x["part"]), "\n").alias("text"))
+    d = p.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("page_no", "page_id", part.alias("part")))), lambda x: x["part"]), "\n").alias("text"))
     return d.select("file_id", F.concat(text.stripped(F.col("text")), F.lit("\n")).alias("text"))
 
 
