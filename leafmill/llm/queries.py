@@ -25,8 +25,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = unique_pages(spark, sf_dir, "text", "needs_review")
-    return quality.text_quality(pages, _function_words(spark, sf_dir), ["page_id", "needs_review"])
+    pages = table(spark, sf_dir, "pages", "page_id", "text", "needs_review")
+    return quality.text_quality(pages, _function_words(spark, sf_dir), ["page_id", "needs_review"]).dropDuplicates(["page_id"])
 
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
