@@ -14,7 +14,8 @@ Defined results: null, empty and blank pages have no rows; a word is reported
 once per page and kind; a page on which most words are unknown (junk) has no
 misread words; the case of a corrected word follows the word it replaces; of
 equal candidates the more frequent, then the smaller wins; a page_id that
-repeats counts once; lines of any length are read whole.
+repeats counts once; lines of any length are read whole, words of any length
+from one letter are looked up.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ EDGE = 3
 GOOD_COUNT = 20
 #: The commonest good words, known to every worker of the second pass; only a saving, the results do not depend on it.
 KNOWN_WORDS = 20_000
+#: The letters that are words by themselves; any other single letter marks an item or an initial.
+LETTER_WORDS = ("a", "e", "i", "o", "u", "y")
 #: Replacements that explain fewer flagged words than this are no misreadings.
 COMMON_OP = 3
 #: Most labelled word types the ranker is fitted on.
@@ -234,8 +237,8 @@ def _candidates(vocabulary: DataFrame) -> DataFrame:
     """Word types with possible corrections: inverted join on anchored q-grams, then length, count and distance."""
     word = F.col("word")
     length = F.length("word")
-    good = vocabulary.where((F.col("n") >= GOOD_COUNT) & (F.col("flagged") * 10 < F.col("n")) & word.rlike(r"^[\p{L}][\p{L}'’-]*$") & (length >= 2))
-    doubt = vocabulary.where(word.rlike(r"\p{L}") & word.rlike(r"^[\p{L}\p{N}@(|$!'’-]+$") & length.between(3, 40))
+    good = vocabulary.where((F.col("n") >= GOOD_COUNT) & (F.col("flagged") * 10 < F.col("n")) & word.rlike(r"^[\p{L}][\p{L}'’-]*$") & ((length >= 2) | word.isin(*LETTER_WORDS)))
+    doubt = vocabulary.where(word.rlike(r"\p{L}") & word.rlike(r"^[\p{L}\p{N}@(|$!'’-]+$"))
 
     def gram(q: int):
         k = q - 1 or 1
@@ -247,8 +250,10 @@ def _candidates(vocabulary: DataFrame) -> DataFrame:
     # each type looks up the grams of its own length class; the good words stand under those of all three
     left = doubt.select("word", "n", "flagged", F.explode(by_length).alias("gram"))
     right = good.select(F.col("word").alias("meant"), F.col("n").alias("meant_n"), F.col("caps").alias("meant_caps"), F.explode(F.array(*gram(1), *gram(2), *gram(3))).alias("gram"))
+    # of one or two letters one may be replaced, or one stand for two: the grams of length 1 meet all of these
+    most = F.when(length >= 7, 3).when((length <= 2) & (length == F.length("meant")), 1).otherwise(2)
     pairs = left.join(right, "gram").where(
-        (F.col("word") != F.col("meant")) & (F.abs(length - F.length("meant")) <= 2) & (F.col("meant_n") >= 8 * F.col("n")) & (F.expr("levenshtein(word, meant, if(length(word) >= 7, 3, 2))") >= 0)
+        (F.col("word") != F.col("meant")) & (F.abs(length - F.length("meant")) <= 2) & (F.col("meant_n") >= 8 * F.col("n")) & (F.levenshtein("word", "meant") <= most)
     )
     return pairs.drop("gram").dropDuplicates(["word", "meant"])
 
@@ -460,7 +465,7 @@ def _second_pass(known: frozenset[str]):
                 lines = text.split("\n")
                 edge = {i for i, _, _ in _edges(lines)}
                 skip = {i for i in edge if page_number_of(lines[i].strip())}
-                total, own = 0, []
+                total, unknown, own = 0, 0, []
                 half = False
                 for i, s in enumerate(lines):
                     tokens = s.split()
@@ -475,9 +480,13 @@ def _second_pass(known: frozenset[str]):
                     for t in tokens:
                         w = _bare(t)
                         low = w.lower()
-                        if low not in known and len(w) >= 3:
+                        if low in known:
+                            continue
+                        if len(w) >= 3:
+                            unknown += 1
+                        if len(w) >= 3 or any(map(str.isalpha, w)):
                             own.append((page_id, i if i in edge else -1, "misread", w, low, None, None))
-                if len(own) * 2 <= total + 4:
+                if unknown * 2 <= total + 4:
                     rows += dict.fromkeys(own)
                 for i, first, mark, second in _broken(lines, skip):
                     plain = first + second

@@ -57,6 +57,19 @@ def test_found(spark):
     assert kinds["misread"] == {(p, list(wrong)[p // 8 % 8]) for p in range(8, 161, 8)}
 
 
+def test_words_of_any_length(spark):
+    df, _ = corpus(spark)
+    long = "donaudampfschifffahrtselektrizitaetengesellschaft"
+    line = f"Then we met the secretary by the {long}."
+    wrong = {9100: ("we", "wc"), 9101: (long, long.replace("tengesell", "tcngesell"))}
+    rows = []
+    for page_id in range(9100, 9160):
+        right, read = wrong.get(page_id, ("", ""))
+        rows.append((page_id, page_id, 1, f"{SENTENCES[0]}\n{line.replace(right, read) if right else line}\n{SENTENCES[1]}", [read] if read else [], ""))
+    got = {(r.page_id, r.found_text) for r in found_noise(df.unionByName(spark.createDataFrame(rows, df.schema))).collect() if r.kind == "misread"}
+    assert {g for g in got if g[0] >= 9100} == {(page_id, right) for page_id, (right, _) in wrong.items()}
+
+
 def test_paragraphs(spark):
     df, wrong = corpus(spark)
     got = {r.page_id: r.text for r in repaired(df).collect()}
