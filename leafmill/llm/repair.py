@@ -4,8 +4,8 @@ Two passes over the texts, none of which is ever shuffled.  The first counts
 words (a vocabulary with the share of occurrences that were flagged as doubtful)
 and collects the lines at the pages' edges.  Between the passes everything
 works on word *types* and edge lines: running lines are edge lines a file
-repeats; a word's correction candidates come from an inverted join on anchored
-character q-grams, and a gradient-boosted ranker, trained on the flags the
+repeats; a word's correction candidates come from an exact inverted join on
+positional character pieces, and a gradient-boosted ranker, trained on the flags the
 recogniser left, chooses one or none.  The second pass lists per page the words
 outside the commonest good ones and the broken words, which are joined with the
 corrections and the vocabulary.
@@ -41,6 +41,8 @@ EDGE = 3
 GOOD_COUNT = 20
 #: The commonest good words, known to every worker of the second pass; only a saving, the results do not depend on it.
 KNOWN_WORDS = 20_000
+#: Edits between a misread word and the right one.
+DISTANCE = 3
 #: The letters that are words by themselves; any other single letter marks an item or an initial.
 LETTER_WORDS = ("a", "e", "i", "o", "u", "y")
 #: Replacements that explain fewer flagged words than this are no misreadings.
@@ -224,38 +226,54 @@ def _ops(w: str, c: str) -> tuple[str, ...] | None:
         return tuple(f"{x}>{y}" for x, y in zip(a, b) if x != y)
     if len(a) <= 2 and len(b) <= 2:
         return (f"{a}>{b}",)
-    for k in range(1, len(a)):  # one replacement of unequal length beside one of equal length
-        for m in range(1, len(b)):
-            if len(a[:k]) <= 2 and len(b[:m]) <= 2 and len(a) - k == len(b) - m:
-                rest = tuple(f"{x}>{y}" for x, y in zip(a[k:], b[m:]) if x != y)
-                if len(rest) <= 1:
-                    return (f"{a[:k]}>{b[:m]}", *rest)
+    for k in range(1, min(3, len(a))):  # one replacement of unequal length before or after one of equal length
+        m = len(b) - len(a) + k
+        if not 1 <= m <= min(2, len(b) - 1):
+            continue
+        rest = tuple(f"{x}>{y}" for x, y in zip(a[k:], b[m:]) if x != y)
+        if len(rest) <= 1:
+            return (f"{a[:k]}>{b[:m]}", *rest)
+        rest = tuple(f"{x}>{y}" for x, y in zip(a[:-k], b[:-m]) if x != y)
+        if len(rest) <= 1:
+            return (*rest, f"{a[-k:]}>{b[-m:]}")
     return None
 
 
+def _pieces(length: str) -> str:
+    """SQL: an array of (i, start from 0, size) of the DISTANCE + 1 pieces a word of that length falls in; the last ones are longer by one where needed."""
+    k = DISTANCE + 1
+    size = f"{length} div {k} + if(i >= {k} - {length} % {k}, 1, 0)"
+    return f"transform(sequence(0, {DISTANCE}), i -> struct(i as i, i * ({length} div {k}) + greatest(0, i - ({k} - {length} % {k})) as p, {size} as size))"
+
+
 def _candidates(vocabulary: DataFrame) -> DataFrame:
-    """Word types with possible corrections: inverted join on anchored q-grams, then length, count and distance."""
+    """Word types with possible corrections: exact join on pieces, then length, count and distance.
+
+    A word within DISTANCE edits of the right one holds one of its DISTANCE + 1
+    pieces unchanged, moved no further than the edits on the piece's either side
+    allow; so all such pairs meet, wherever the misread letters are.
+    """
     word = F.col("word")
     length = F.length("word")
     good = vocabulary.where((F.col("n") >= GOOD_COUNT) & (F.col("flagged") * 10 < F.col("n")) & word.rlike(r"^[\p{L}][\p{L}'’-]*$") & ((length >= 2) | word.isin(*LETTER_WORDS)))
     doubt = vocabulary.where(word.rlike(r"\p{L}") & word.rlike(r"^[\p{L}\p{N}@(|$!'’-]+$"))
 
-    def gram(q: int):
-        k = q - 1 or 1
-        start, end = F.substring("word", 1, q), F.expr(f"right(word, {q})")
-        both = F.concat(F.lit(f"{q}^$"), F.substring("word", 1, k), F.lit(" "), F.expr(f"right(word, {k})")) if q > 1 else F.concat(F.lit("1-"), F.substring("word", 2, 1))
-        return [F.concat(F.lit(f"{q}^"), start), F.concat(F.lit(f"{q}$"), end), both]
-
-    by_length = F.when(length >= 6, F.array(*gram(3))).when(length >= 4, F.array(*gram(2))).otherwise(F.array(*gram(1)))
-    # each type looks up the grams of its own length class; the good words stand under those of all three
-    left = doubt.select("word", "n", "flagged", F.explode(by_length).alias("gram"))
-    right = good.select(F.col("word").alias("meant"), F.col("n").alias("meant_n"), F.col("caps").alias("meant_caps"), F.explode(F.array(*gram(1), *gram(2), *gram(3))).alias("gram"))
-    # of one or two letters one may be replaced, or one stand for two: the grams of length 1 meet all of these
-    most = F.when(length >= 7, 3).when((length <= 2) & (length == F.length("meant")), 1).otherwise(2)
-    pairs = left.join(right, "gram").where(
-        (F.col("word") != F.col("meant")) & (F.abs(length - F.length("meant")) <= 2) & (F.col("meant_n") >= 8 * F.col("n")) & (F.levenshtein("word", "meant") <= most)
+    own = F.expr(f"transform({_pieces('length(word)')}, s -> concat_ws(' ', length(word), s.i, substring(word, s.p + 1, s.size)))")
+    # d: how much longer the word is than the right one
+    at = "greatest(0, s.p - s.i, s.p + d - ({0} - s.i))", "least(length(word) - s.size, s.p + s.i, s.p + d + {0} - s.i)"
+    low, high = (x.format(DISTANCE) for x in at)
+    looked_up = F.expr(
+        f"""array_distinct(flatten(flatten(transform(sequence(-2, least(2, length(word) - 1)), d -> transform({_pieces('(length(word) - d)')}, s -> if({low} <= {high},
+        transform(sequence({low}, greatest({low}, {high})), p -> concat_ws(' ', length(word) - d, s.i, substring(word, p + 1, s.size))), cast(array() as array<string>)))))))"""
+    )
+    left = doubt.select("word", "n", "flagged", F.explode(looked_up).alias("piece"))
+    right = good.select(F.col("word").alias("meant"), F.col("n").alias("meant_n"), F.col("caps").alias("meant_caps"), F.explode(own).alias("piece"))
+    # a word of a few letters keeps one of them, or has one that stands for two
+    most = F.when(length == F.length("meant"), F.greatest(F.lit(1), F.least(F.lit(DISTANCE), length - 1))).when(length <= 2, 2).otherwise(DISTANCE)
+    pairs = left.join(right, "piece").where(
+        (F.col("word") != F.col("meant")) & (F.abs(length - F.length("meant")) <= 2) & (F.col("meant_n") >= 8 * F.col("n")) & F.levenshtein("word", "meant", DISTANCE).between(0, most)
     )
-    return pairs.drop("gram").dropDuplicates(["word", "meant"])
+    return pairs.drop("piece").dropDuplicates(["word", "meant"])
 
 
 _PAIR = T.StructType(
@@ -296,9 +314,12 @@ def corrections(vocabulary: DataFrame) -> DataFrame:
     doubts (flags) mark them, and its verdict is joined with those doubts.
     """
     pairs = materialise(_candidates(vocabulary).mapInPandas(_with_ops, _PAIR), "pairs")
-    single = pairs.where("size(ops) = 1 and flagged >= 1 and flagged * 3 >= n").select(F.col("ops")[0].alias("op"), "meant", "word")
+    single = pairs.where("size(ops) = 1 and flagged >= 1 and flagged * 3 >= n").select(F.col("ops")[0].alias("op"), "meant", "meant_n", "word")
+    support = single.groupBy("op").agg(F.approx_count_distinct("meant").alias("k"))
+    # every candidate of a flagged word meets it, but the word speaks for one replacement only, the commonest
+    spoken = single.join(support, "op").groupBy("word").agg(F.max(F.struct("k", "meant_n", "op", "meant")).alias("b")).select("b.op", "b.meant")
     # single characters and pairs only: the table is as small as the alphabet
-    counts = single.groupBy("op").agg(F.approx_count_distinct("meant").alias("k")).where("k >= 3").orderBy(F.desc("k"), "op").limit(5_000).collect()
+    counts = spoken.groupBy("op").agg(F.approx_count_distinct("meant").alias("k")).where("k >= 3").orderBy(F.desc("k"), "op").limit(5_000).collect()
     seen = {r["op"]: float(np.log1p(r["k"])) for r in counts}
     sure = pairs.where("(flagged >= 1 and flagged * 3 >= n) or (n >= 10 and flagged * 50 < n)")
     sample = sure.orderBy(F.xxhash64("word", "meant")).limit(TRAINING_ROWS).toPandas()

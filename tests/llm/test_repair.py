@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from leafmill.llm.boost import Boosted
-from leafmill.llm.repair import _ops, found_noise, mended, page_number_of, repaired
+from leafmill.llm.repair import _candidates, _ops, found_noise, mended, page_number_of, repaired
 
 SENTENCES = [
     "The committee reviewed the quarterly statement before the meeting.",
@@ -24,6 +24,43 @@ def test_ops():
     assert _ops("tbe", "the") == ("b>h",) and _ops("rnodern", "modern") == ("rn>m",) and _ops("fbe", "the") == ("f>t", "b>h") and _ops("abcdefg", "x") is None
 
 
+def test_ops_with_the_longer_replacement_last():
+    assert _ops("1isrn", "lism") == ("1>l", "rn>m") and _ops("rnaft", "matt") == ("rn>m", "f>t") and _ops("fbsrn", "thsm") is None
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_candidates_are_all_pairs_within_the_distance(spark):
+    rng = np.random.default_rng(3)
+    good = sorted({"".join(rng.choice(list("abcde"), rng.integers(2, 12))) for _ in range(60)} | {"record", "nothing", "liability", "most", "with"})
+    doubt = {"rcc0rd", "n0thinq", "li@bilify", "rno5t", "vvlth"}
+    for w in good:
+        for edits in (1, 2, 3):
+            x = list(w)
+            for _ in range(edits):
+                at = int(rng.integers(0, len(x) + 1))
+                x[at : at + int(rng.integers(0, 2))] = rng.choice(list("abcdex"), int(rng.integers(0, 2)))
+            doubt.add("".join(x))
+    doubt = sorted(doubt - set(good) - {""})
+    words = spark.createDataFrame([(w, 100, 0, 0) for w in good] + [(w, 1, 1, 0) for w in doubt], "word string, n bigint, flagged bigint, caps bigint")
+    want = set()
+    for w in doubt:
+        for c in good:
+            same = len(w) == len(c)
+            most = max(1, min(3, len(w) - 1)) if same else 2 if len(w) <= 2 else 3
+            if abs(len(w) - len(c)) <= 2 and distance(w, c) <= most:
+                want.add((w, c))
+    assert {(r.word, r.meant) for r in _candidates(words).collect()} == want
+    assert {("rcc0rd", "record"), ("n0thinq", "nothing"), ("li@bilify", "liability"), ("rno5t", "most"), ("vvlth", "with")} <= want
+
+
 def corpus(spark):
     """Forty files of four pages with a header, a footer, numbers, broken and misread words."""
     rows, page_id = [], 0
