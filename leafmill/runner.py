@@ -86,12 +86,19 @@ class Run:
         write_report(pages, f"file://{os.path.abspath(home)}/pages.csv")
         pages.write.mode("overwrite").parquet(f"file://{os.path.abspath(home)}/pages")
         failed = {w["relpath"] for w in written if w["error"]}
-        state.commit(pending.where(~F.col("relpath").isin(*failed)) if failed else pending)
+        done = read_whole(pending, pages)
+        state.commit(done.where(~F.col("relpath").isin(*failed)) if failed else done)
         t = pages.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("needs_review")).alias("flagged"), F.count_if(F.col("source") == "failed").alias("failed")).head()
         self.totals = {"files": files.count(), "files_read": pending.count(), "pages": t["pages"], "flagged": t["flagged"], "failed": t["failed"], "written": len(written) - len(failed)}
         self.publish(type="phase", phase="written", **self.totals)
 
 
+def read_whole(pending: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pending files of which every page was read; the others are pending again in the next run."""
+    read = pages.where("source <> 'failed'").groupBy("relpath").agg(F.countDistinct("page_no").alias("_read"))
+    return pending.join(read, "relpath").where("_read >= page_count").drop("_read")
+
+
 def run_blocking(spark: SparkSession, settings: Settings, pixels, make=Stub, on_event=None) -> Run:
     run = Run(settings)
     if on_event:
