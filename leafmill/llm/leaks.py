@@ -6,7 +6,9 @@ of twice the partition's greatest length.  MinHash signatures are taken over
 the shingles that some item holds (no other shingle can be shared with one); the
 share of equal minima estimates how much of an item a window holds.  Estimates
 that could be a leak are verified exactly: the item's shingles found in order of
-place within one stretch of twice its length must cover at least half its words.
+place within one stretch of twice its length must cover at least half its words;
+where changed words have broken too many shingles, the item is aligned with the
+stretch word by word, and passages of it must make up half of its words.
 
 TESTDATA defines a leak by half of the words with some of them changed, so the
 shingles here are of three and four words (five would lose noisy passages).
@@ -22,6 +24,7 @@ length are read whole.
 
 from __future__ import annotations
 
+import difflib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -41,6 +44,8 @@ SHINGLE, STRICT, MINIMA = 3, 4, 48
 AGREE = 4
 #: Covered share of an item's words, by shingles of both lengths, that makes a leak.
 COVER, COVER_STRICT = 0.5, 0.4
+#: Changed words in a row within a passage, and matching words a passage has at least.
+GAP, PASSAGE = 2, 4
 #: Shingles held by at least this many items are stock phrases.
 STOCK = 3
 #: Items whose signatures travel together.
@@ -91,6 +96,36 @@ def covered(n: int, at: dict[tuple[str, ...], list[int]], document: Sequence[tup
     return best / n if n else 0.0
 
 
+def held(item: Sequence[str], words: Sequence[str], at: dict[tuple[str, ...], list[int]], size: int) -> float:
+    """Greatest share of the item's words found in order within a stretch of twice its length, changed words counted where both sides of them match.
+
+    Every shingle in the document (``at``) names a stretch; within it the texts are
+    aligned, and matching words that stand equally far apart on both sides, with at
+    most GAP changed words between, form one passage of at least PASSAGE words.
+    """
+    n = len(item)
+    hits = [b for b, s in enumerate(shingles(words, size)) if s in at]
+    own = Counter(item)
+    best, upto = 0, -1
+    for b in hits:
+        if b < upto:
+            continue
+        lo = max(0, b - GAP - 1)
+        upto = b + max(1, n // 4)
+        stretch = words[lo : lo + 2 * n + n // 4]  # twice the item from every hit before the next stretch
+        if sum((own & Counter(stretch)).values()) * 3 < n * 2 * COVER:
+            continue  # of a passage two thirds match, so these words cannot make up COVER
+        passages: list[list[int]] = []  # item position, stretch position, length, matching words
+        for m in difflib.SequenceMatcher(None, item, stretch, autojunk=False).get_matching_blocks()[:-1]:
+            last = passages[-1] if passages else None
+            if last and last[0] - last[1] == m.a - m.b and m.a - last[0] - last[2] <= GAP:
+                last[2], last[3] = m.a + m.size - last[0], last[3] + m.size
+            else:
+                passages.append([m.a, m.b, m.size, m.size])
+        best = max(best, sum(p[2] for p in passages if p[3] >= PASSAGE and p[3] * 3 >= p[2] * 2))
+    return best / n if n else 0.0
+
+
 class Index:
     """Signatures of a block of items by size partition."""
 
@@ -145,6 +180,8 @@ class Index:
             at, at_strict = self.places[k]
             if covered(len(item), at, loose, SHINGLE) >= COVER and covered(len(item), at_strict, strict, STRICT) >= COVER_STRICT:
                 out.append(item_id)
+            elif held(item, words, at, SHINGLE) >= COVER:
+                out.append(item_id)
         return out
 
 

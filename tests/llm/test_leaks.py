@@ -45,3 +45,18 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
     assert leaked(docs, items).count() == 0 and leaked(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), items.limit(0)).count() == 0
+
+
+def test_half_of_an_item_with_changed_words():
+    rng = random.Random(3)
+    items = [(k, words_of(made(rng, 80))) for k in range(10)]
+    ix = Index(items)
+    for k, item in items:
+        part = item[: len(item) // 2 + 4]
+        for at in (5, 12, 20, 28, 36):  # a changed word takes its neighbours out of the shingles
+            part[at] = "changed"
+        doc = words_of(made(rng, 60)) + part + words_of(made(rng, 60))
+        assert covered(len(item), places(item, 4), shingles(doc, 4), 4) < 0.5
+        assert ix.found(doc) == [k]
+        less = item[: len(item) // 3]
+        assert ix.found(words_of(made(rng, 60)) + less + words_of(made(rng, 60))) == []
