@@ -14,8 +14,11 @@ Defined results: null, empty and blank pages have no rows; a word is reported
 once per page and kind; a page on which most words are unknown (junk) has no
 misread words; the case of a corrected word follows the word it replaces; of
 equal candidates the more frequent, then the smaller wins; a page_id that
-repeats counts once; lines of any length are read whole, words of any length
-from one letter are looked up.
+repeats counts once; words of any length from one letter are looked up.
+
+Limit: an edge line that reads like prose (over 120 characters, a lower-case
+start, a comma or semicolon at the end, or over 60 characters with a sentence's
+end) is never taken for a running line, however often its file repeats it.
 """
 
 from __future__ import annotations
