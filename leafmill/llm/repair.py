@@ -42,7 +42,7 @@ from leafmill.storage import materialise
 EDGE = 3
 #: A word seen this often, and rarely flagged, may stand as a correction.
 GOOD_COUNT = 20
-#: The commonest good words, known to every worker of the second pass; only a saving, the results do not depend on it.
+#: The commonest good words, known to every worker of the second pass; the share of other words marks a junk page, so the results depend on it.
 KNOWN_WORDS = 20_000
 #: Edits between a misread word and the right one.
 DISTANCE = 3
