@@ -4,21 +4,25 @@ Two passes over the texts, none of which is ever shuffled.  The first counts
 words (a vocabulary with the share of occurrences that were flagged as doubtful)
 and collects the lines at the pages' edges.  Between the passes everything
 works on word *types* and edge lines: running lines are edge lines a file
-repeats; a word's correction candidates come from an exact inverted join on
-positional character pieces, and a gradient-boosted ranker, trained on the flags the
-recogniser left, chooses one or none.  The second pass lists per page the words
-outside the commonest good ones and the broken words, which are joined with the
-corrections and the vocabulary.
+repeats.  The second pass lists per readable page the words nobody trusts and the
+broken words.  The types of those words meet their correction candidates in an exact
+inverted join on positional character pieces, and a gradient-boosted ranker,
+trained on the flags the recogniser left, chooses one or none.
+
+Whether a page is readable is told by the letters of its words: a table of letter
+triples (of fixed size, learnt from every good word of the corpus) scores each
+word, and a page whose words mostly score below nearly all good words is junk.
 
 Defined results: null, empty and blank pages have no rows; a word is reported
-once per page and kind; a page on which most words are unknown (junk) has no
-misread words; the case of a corrected word follows the word it replaces; of
-equal candidates the more frequent, then the smaller wins; a page_id that
-repeats counts once; words of any length from one letter are looked up.
-
-Limit: an edge line that reads like prose (over 120 characters, a lower-case
-start, a comma or semicolon at the end, or over 60 characters with a sentence's
-end) is never taken for a running line, however often its file repeats it.
+once per page and kind; a page most of whose words are in no language's letters
+(junk) has no misread words; the case of a corrected word follows the word it
+replaces; of equal candidates the more frequent, then the smaller wins; a page_id
+that repeats counts once; words of any length from one letter are looked up.
+
+An edge line that reads like prose (over 120 characters, a lower-case start, a
+comma or semicolon at the end, or over 60 characters with a sentence's end) is
+carried as a hash: it is a running line where at least four fifths of its file's
+pages, and three, have it letter for letter.
 """
 
 from __future__ import annotations
@@ -42,14 +46,16 @@ from leafmill.storage import materialise
 EDGE = 3
 #: A word seen this often, and rarely flagged, may stand as a correction.
 GOOD_COUNT = 20
-#: The commonest good words, known to every worker of the second pass; the share of other words marks a junk page, so the results depend on it.
+#: Trusted words every worker of the second pass leaves out at once, the commonest first. Only a saving: trusted words have no correction, so the results do not depend on it.
 KNOWN_WORDS = 20_000
 #: Edits between a misread word and the right one.
 DISTANCE = 3
 #: The letters that are words by themselves; any other single letter marks an item or an initial.
 LETTER_WORDS = ("a", "e", "i", "o", "u", "y")
-#: Replacements that explain fewer flagged words than this are no misreadings.
-COMMON_OP = 3
+#: Replacements that explain fewer flagged words than this, or a smaller share of them, are no misreadings (the share bounds their number by its inverse).
+COMMON_OP, OP_SHARE = 3, 0.0004
+#: Standard deviations below the mean score of good words at which a word's letters are no language's.
+STRANGE = 1.5
 #: Most labelled word types the ranker is fitted on.
 TRAINING_ROWS = 20_000
 
@@ -163,6 +169,8 @@ _FIRST = T.StructType(
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
     words: Counter = Counter()
     flags: Counter = Counter()
 
@@ -189,6 +197,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, side, _ in _edges(lines):
                 s = lines[i].strip()
                 if _prose_line(s):
+                    edges.append(("h", file_id, page_id, page_no, i, side, None, xxhash.xxh64_hexdigest(s), None, None))
                     continue
                 number = page_number_of(s)
                 is_number = number is not None and (number[1] or number[0] == page_no)
@@ -249,17 +258,31 @@ def _pieces(length: str) -> str:
     return f"transform(sequence(0, {DISTANCE}), i -> struct(i as i, i * ({length} div {k}) + greatest(0, i - ({k} - {length} % {k})) as p, {size} as size))"
 
 
-def _candidates(vocabulary: DataFrame) -> DataFrame:
-    """Word types with possible corrections: exact join on pieces, then length, count and distance.
+def _correctable():
+    return F.col("word").rlike(r"\p{L}") & F.col("word").rlike(r"^[\p{L}\p{N}@(|$!'’-]+$")
+
+
+def _trusted():
+    """A misread word is mostly flagged: one seen twenty times and flagged in fewer than a twentieth, or three times and never flagged, is a word."""
+    return ((F.col("n") >= 20) & (F.col("flagged") * 20 < F.col("n"))) | ((F.col("n") >= 3) & (F.col("flagged") == 0))
+
+
+def _good():
+    """Words that may stand as a correction."""
+    word = F.col("word")
+    return (F.col("n") >= GOOD_COUNT) & (F.col("flagged") * 10 < F.col("n")) & word.rlike(r"^[\p{L}][\p{L}'’-]*$") & ((F.length("word") >= 2) | word.isin(*LETTER_WORDS))
+
+
+def _candidates(vocabulary: DataFrame, doubted: DataFrame | None = None) -> DataFrame:
+    """Word types (of ``doubted``, else of the whole vocabulary) with possible corrections: exact join on pieces, then length, count and distance.
 
     A word within DISTANCE edits of the right one holds one of its DISTANCE + 1
     pieces unchanged, moved no further than the edits on the piece's either side
     allow; so all such pairs meet, wherever the misread letters are.
     """
-    word = F.col("word")
     length = F.length("word")
-    good = vocabulary.where((F.col("n") >= GOOD_COUNT) & (F.col("flagged") * 10 < F.col("n")) & word.rlike(r"^[\p{L}][\p{L}'’-]*$") & ((length >= 2) | word.isin(*LETTER_WORDS)))
-    doubt = vocabulary.where(word.rlike(r"\p{L}") & word.rlike(r"^[\p{L}\p{N}@(|$!'’-]+$"))
+    good = vocabulary.where(_good())
+    doubt = (vocabulary if doubted is None else doubted).where(_correctable())
 
     own = F.expr(f"transform({_pieces('length(word)')}, s -> concat_ws(' ', length(word), s.i, substring(word, s.p + 1, s.size)))")
     # d: how much longer the word is than the right one
@@ -269,6 +292,8 @@ def _candidates(vocabulary: DataFrame) -> DataFrame:
         f"""array_distinct(flatten(flatten(transform(sequence(-2, least(2, length(word) - 1)), d -> transform({_pieces('(length(word) - d)')}, s -> if({low} <= {high},
         transform(sequence({low}, greatest({low}, {high})), p -> concat_ws(' ', length(word) - d, s.i, substring(word, p + 1, s.size))), cast(array() as array<string>)))))))"""
     )
+    # few and narrow rows become many: they are spread before they do, or one task would hold them all
+    doubt = doubt.select("word", "n", "flagged").repartition(int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
     left = doubt.select("word", "n", "flagged", F.explode(looked_up).alias("piece"))
     right = good.select(F.col("word").alias("meant"), F.col("n").alias("meant_n"), F.col("caps").alias("meant_caps"), F.explode(own).alias("piece"))
     # a word of a few letters keeps one of them, or has one that stands for two
@@ -309,21 +334,27 @@ def _features(b: pd.DataFrame, seen: dict[str, float]) -> np.ndarray:
     return np.stack([least, sites, np.log1p(m), np.log1p(n), np.log(m / np.maximum(n, 1)), size, odd, gap], axis=1)
 
 
-def corrections(vocabulary: DataFrame) -> DataFrame:
-    """(word, meant, meant_caps): the chosen correction of every word type that has one.
+def corrections(vocabulary: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(word, meant, meant_caps): the chosen correction of every word type (of ``wanted``, where given) that has one.
 
     Replacements are weighted by how many different words they explain; the
     ranker learns from at most TRAINING_ROWS types whether the recogniser's own
     doubts (flags) mark them, and its verdict is joined with those doubts.
     """
-    pairs = materialise(_candidates(vocabulary).mapInPandas(_with_ops, _PAIR), "pairs")
+    doubted = vocabulary
+    if wanted is not None:
+        # the ranker also learns from words that are surely right; they get no correction, so a bounded share by hash is enough
+        right = vocabulary.where(_correctable() & (F.col("n") >= 10) & (F.col("flagged") * 50 < F.col("n"))).orderBy(F.xxhash64("word")).limit(TRAINING_ROWS // 4)
+        doubted = vocabulary.where(~_trusted()).join(wanted, "word", "left_semi").unionByName(right).distinct()
+    pairs = materialise(_candidates(vocabulary, doubted).mapInPandas(_with_ops, _PAIR), "pairs")
     single = pairs.where("size(ops) = 1 and flagged >= 1 and flagged * 3 >= n").select(F.col("ops")[0].alias("op"), "meant", "meant_n", "word")
     support = single.groupBy("op").agg(F.approx_count_distinct("meant").alias("k"))
     # every candidate of a flagged word meets it, but the word speaks for one replacement only, the commonest
     spoken = single.join(support, "op").groupBy("word").agg(F.max(F.struct("k", "meant_n", "op", "meant")).alias("b")).select("b.op", "b.meant")
-    # single characters and pairs only: the table is as small as the alphabet
-    counts = spoken.groupBy("op").agg(F.approx_count_distinct("meant").alias("k")).where("k >= 3").orderBy(F.desc("k"), "op").limit(5_000).collect()
-    seen = {r["op"]: float(np.log1p(r["k"])) for r in counts}
+    # every word speaks once, so at most 1 / OP_SHARE replacements have their share of them: the list is bounded whatever the corpus
+    spoken = materialise(spoken.groupBy("op").agg(F.countDistinct("meant").alias("k")), "replacements")
+    least = max(COMMON_OP, OP_SHARE * (spoken.agg(F.sum("k")).head()[0] or 0))
+    seen = {r["op"]: float(np.log1p(r["k"])) for r in spoken.where(F.col("k") >= least).collect()}
     sure = pairs.where("(flagged >= 1 and flagged * 3 >= n) or (n >= 10 and flagged * 50 < n)")
     sample = sure.orderBy(F.xxhash64("word", "meant")).limit(TRAINING_ROWS).toPandas()
     model = Boosted()
@@ -347,10 +378,62 @@ def corrections(vocabulary: DataFrame) -> DataFrame:
         F.max(F.struct("score", "meant_n", "meant", "meant_caps", "n", "flagged", "least")).alias("b")
     ).select("word", "b.*")
     doubted = (F.col("flagged") >= 1) & (F.col("flagged") * 4 >= F.col("n"))
-    # a misread word is mostly flagged: one seen three times and never flagged is a word
-    trusted = ((F.col("n") >= 20) & (F.col("flagged") * 20 < F.col("n"))) | ((F.col("n") >= 3) & (F.col("flagged") == 0))
-    usual = F.col("least") >= float(np.log1p(COMMON_OP))
-    return best.where(~trusted & usual & ((F.col("score") >= 0.5) | doubted)).select("word", "meant", "meant_n", "meant_caps")
+    usual = F.col("least") > 0
+    return best.where(~_trusted() & usual & ((F.col("score") >= 0.5) | doubted)).select("word", "meant", "meant_n", "meant_caps")
+
+
+_FOLD = str.maketrans("áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc")
+
+
+def _triples(word: str) -> list[int]:
+    """Codes of the word's letter triples, ends marked; 26 letters, one class for the end and one for all else."""
+    c = [0, *(ord(x) - 96 if "a" <= x <= "z" else 27 for x in word.lower().translate(_FOLD)), 0]
+    return [(x * 28 + y) * 28 + z for x, y, z in zip(c, c[1:], c[2:])]
+
+
+class Letters:
+    """How a corpus' good words are spelt: log probabilities of letter triples and the score below which a word is strange."""
+
+    def __init__(self, counts: np.ndarray):
+        table = counts.reshape(28, 28, 28) + 0.05
+        self.log = np.log(table / table.sum(2, keepdims=True)).ravel().tolist()
+        self.least = float("-inf")
+
+    def score(self, word: str) -> float:
+        codes = _triples(word)
+        return sum(map(self.log.__getitem__, codes)) / len(codes)
+
+
+_TRIPLE = T.StructType([T.StructField("code", T.IntegerType()), T.StructField("n", T.DoubleType())])
+
+
+def letters_of(vocabulary: DataFrame) -> Letters:
+    """Learnt from every good word: a table of 28 cubed counts, then mean and spread of the scores of the words themselves."""
+    good = vocabulary.where(_good() & (F.length("word") >= 3)).select("word", F.col("n").cast("double").alias("n"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(28**3)
+        for b in batches:
+            for w, n in zip(b["word"], np.log1p(b["n"].to_numpy(float))):
+                np.add.at(total, _triples(w), n)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"code": at.astype(np.int32), "n": total[at]})
+
+    counts = np.zeros(28**3)
+    for code, n in good.mapInPandas(count, _TRIPLE).groupBy("code").agg(F.sum("n")).collect():  # 28 cubed rows at most
+        counts[code] = n
+    letters = Letters(counts)
+
+    @F.pandas_udf(T.DoubleType())
+    def score(words: pd.Series) -> pd.Series:
+        return pd.Series([letters.score(w) for w in words], dtype=float)
+
+    s, n = F.col("s"), F.col("n")
+    m = good.select(score("word").alias("s"), "n").agg(F.sum("n").alias("n"), F.sum(n * s).alias("a"), F.sum(n * s * s).alias("b")).head()
+    if m["n"]:
+        mean = m["a"] / m["n"]
+        letters.least = mean - STRANGE * max(0.0, m["b"] / m["n"] - mean * mean) ** 0.5
+    return letters
 
 
 _SIDES, _SHAPES = ("T", "B"), ("end", "blank", "item", "cells", "short", "text")
@@ -422,15 +505,32 @@ def running_lines(edges: DataFrame, page_rows: DataFrame) -> DataFrame:
     heads = heads.unionByName(once)
     # on a page of few lines a footer may be among the first
     exact = e.join(heads.select("file_id", "key").distinct(), ["file_id", "key"], "left_semi").select("page_id", "line_no", "line")
-    h = heads.withColumnRenamed("key", "head")
-    near = (
-        e.join(h.select("file_id", "head").distinct(), "file_id")
-        .where((F.col("key") != F.col("head")) & (F.abs(F.length("key") - F.length("head")) <= 3) & (F.levenshtein("key", "head") * 4 <= F.length("head")))
-        .select("page_id", "line_no", "line")
-    )
+    close = (F.col("key") != F.col("head")) & (F.abs(F.length("key") - F.length("head")) <= 3) & (F.levenshtein("key", "head") * 4 <= F.length("head"))
+    heads = heads.join(keyed.groupBy("file_id", "key").agg(F.max(k * 3 >= n).alias("main")), ["file_id", "key"]).withColumnRenamed("key", "head")
+    heads = materialise(heads.groupBy("file_id", "head").agg(F.max("main").alias("main")), "running-heads")
+    distinct = keyed.select("file_id", "key").distinct()
+    # lines on a third of a file's pages: at most 6 * EDGE a kind of page, so each key of the file meets a few
+    near = distinct.join(heads.where("main"), "file_id").where(close).select("file_id", "key")
+    # the many lines a file merely repeats meet keys that begin or end like them
+    ends = F.explode(F.array(F.concat(F.lit("<"), F.substring(F.col("x"), 1, 4)), F.concat(F.lit(">"), F.expr("right(x, 4)")))).alias("end")
+    rare = heads.where("not main").withColumn("x", F.col("head")).select("file_id", "head", ends)
+    like = distinct.withColumn("x", F.col("key")).select("file_id", "key", ends).join(rare, ["file_id", "end"]).where(close).select("file_id", "key")
+    near = e.join(near.unionByName(like).distinct(), ["file_id", "key"], "left_semi").select("page_id", "line_no", "line")
     return exact.unionByName(near).dropDuplicates(["page_id", "line_no"])
 
 
+def running_prose(first: DataFrame, page_rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, line_no, line): lines that read like prose and stand at the edge of nearly all of their file's pages, letter for letter."""
+    h = first.where("what = 'h'")
+    pages_of = page_rows.distinct().groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    keys = h.groupBy("file_id", "key").agg(F.countDistinct("page_no").alias("k")).where("k >= 3").join(pages_of, "file_id").where("k * 5 >= n * 4").select("file_id", "key")
+    at = materialise(h.join(keys, ["file_id", "key"], "left_semi").select("page_id", "line_no").distinct(), "running-prose")
+    if at.isEmpty():
+        return at.withColumn("line", F.lit(""))
+    text = pages.select(F.col("page_id").cast("long"), "text").where("text is not null").join(at, "page_id")
+    return text.select("page_id", "line_no", F.trim(F.get(F.split("text", "\n"), F.col("line_no"))).alias("line")).distinct()
+
+
 def _join_features(plain: np.ndarray, hard: np.ndarray, first: np.ndarray, second: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Features of a line pair broken within a word: how often either joint and either half is seen, and the halves' forms."""
     cap = np.array([y[:1].isupper() for y in b], float)
@@ -479,17 +579,38 @@ _SECOND = T.StructType(
 )
 
 
-def _second_pass(known: frozenset[str]):
+#: Tokens judged and kept per Python worker; emptied when full.
+TOKENS_KEPT = 400_000
+_CORRECTABLE = re.compile(r"[\w@(|$!'’-]+")
+
+
+def _judge(token: str, known: frozenset[str], letters: Letters) -> tuple[int, int, str | None, str]:
+    """(counts as a word, is strange, the word if it may need a correction, its lower case)."""
+    w = _bare(token)
+    low = w.lower()
+    n = sum(map(str.isalpha, low))
+    if not n:
+        return (0, 0, None, low)
+    counts = len(low) >= 3 and sum(map(str.isdigit, low)) * 2 < len(low)
+    strange = counts and letters.score(low) < letters.least
+    wanted = low not in known and "_" not in low and _CORRECTABLE.fullmatch(low)
+    return (int(counts), int(strange), w if wanted else None, low)
+
+
+def _second_pass(known: frozenset[str], letters: Letters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judged: dict[str, tuple] = {}
         for b in batches:
             rows: list[tuple] = []
+            if len(judged) > TOKENS_KEPT:
+                judged.clear()
             for page_id, text in zip(b["page_id"].to_pylist(), b["text"].to_pylist()):
                 if not text or text.isspace():
                     continue
                 lines = text.split("\n")
                 edge = {i for i, _, _ in _edges(lines)}
                 skip = {i for i in edge if page_number_of(lines[i].strip())}
-                total, unknown, own = 0, 0, []
+                total, strange, own = 0, 0, []
                 half = False
                 for i, s in enumerate(lines):
                     tokens = s.split()
@@ -500,17 +621,15 @@ def _second_pass(known: frozenset[str]):
                     half = bool(tokens) and len(tokens[-1]) > 1 and tokens[-1][-1] in _BREAKS and tokens[-1][-2].isalpha()
                     if half:
                         tokens = tokens[:-1]
-                    total += len(tokens)
                     for t in tokens:
-                        w = _bare(t)
-                        low = w.lower()
-                        if low in known:
-                            continue
-                        if len(w) >= 3:
-                            unknown += 1
-                        if len(w) >= 3 or any(map(str.isalpha, w)):
-                            own.append((page_id, i if i in edge else -1, "misread", w, low, None, None))
-                if unknown * 2 <= total + 4:
+                        j = judged.get(t)
+                        if j is None:
+                            j = judged[t] = _judge(t, known, letters)
+                        total += j[0]
+                        strange += j[1]
+                        if j[2] is not None:
+                            own.append((page_id, i if i in edge else -1, "misread", j[2], j[3], None, None))
+                if strange * 2 <= total + 2:
                     rows += dict.fromkeys(own)
                 for i, first, mark, second in _broken(lines, skip):
                     plain = first + second
@@ -539,18 +658,19 @@ def noise(pages: DataFrame) -> DataFrame:
     first = first_pass(pages)
     words = materialise(vocabulary_of(first), "vocabulary")
     edges = first.where("what = 'e'")
-    fixes = materialise(corrections(words), "corrections")
-    running = materialise(running_lines(edges, first.where("what = 'p'").select("file_id", "page_no")), "running-lines")
+    page_rows = first.where("what = 'p'").select("file_id", "page_no")
+    running = running_lines(edges, page_rows).unionByName(running_prose(first, page_rows, pages))
+    running = materialise(running.dropDuplicates(["page_id", "line_no"]), "running-lines")
 
-    known_rows = words.where("n >= 5").join(fixes.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).select("word").collect()
-    known = frozenset(r[0] for r in known_rows)
+    known = frozenset(r[0] for r in words.where(_trusted()).orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).select("word").collect())
     text = pages.select(F.col("page_id").cast("long"), "text").where("page_id is not null and text is not null")
-    second = materialise(text.mapInArrow(_second_pass(known), _SECOND), "second-pass")
+    second = materialise(text.mapInArrow(_second_pass(known, letters_of(words)), _SECOND), "second-pass")
     # running lines are no part of the body; only lines at the edges can be
     inner = second.where("line_no < 0")
     outer = second.where("line_no >= 0").join(running.select("page_id", "line_no"), ["page_id", "line_no"], "left_anti")
     body = inner.unionByName(outer.select(*inner.columns))
 
+    fixes = materialise(corrections(words, body.where("kind = 'misread'").select("word").distinct()), "corrections")
     upper_first = F.col("token").rlike(r"^\p{Lu}")
     same_first = F.lower(F.substring("token", 1, 1)) == F.lower(F.substring("meant", 1, 1))
     all_upper = (F.upper("token") == F.col("token")) & (F.length("token") > 1)

@@ -116,6 +116,41 @@ def test_paragraphs(spark):
     assert mended("a  b\n\n\nc", []) == "a b\n\nc"
 
 
+def test_rows_do_not_depend_on_how_many_words_are_known(spark, monkeypatch):
+    from leafmill.llm import repair
+
+    df, _ = corpus(spark)
+    whole = {tuple(r) for r in found_noise(df).collect()}
+    monkeypatch.setattr(repair, "KNOWN_WORDS", 3)
+    assert {tuple(r) for r in found_noise(df).collect()} == whole
+
+
+def test_a_hundredfold_vocabulary_leaves_the_corrections(spark):
+    from leafmill.llm.repair import corrections, first_pass, vocabulary_of
+
+    df, wrong = corpus(spark)
+    words = vocabulary_of(first_pass(df))
+    small = {(r.word, r.meant) for r in corrections(words).collect()}
+    large = words.selectExpr("word", "n * 100 as n", "flagged * 100 as flagged", "caps * 100 as caps")
+    assert small == {(w, m) for m, w in wrong.items()} == {(r.word, r.meant) for r in corrections(large).collect()}
+
+
+def test_junk_is_told_by_its_letters(spark):
+    df, wrong = corpus(spark)
+    junk = "qzvx jkwq xxqv zzkj wqxp vvkz jqqx kzzv pqxw mecting xkqj vzqk"
+    rows = [(9300, 9300, 1, junk, ["mecting"], ""), (9301, 9301, 1, "Xkqj 4,100.50\nThe mecting 5.00\nOf evidence 7.00\nchairman 9.00 8.00", ["mecting"], "")]
+    got = {(r.page_id, r.found_text) for r in found_noise(df.unionByName(spark.createDataFrame(rows, df.schema))).collect() if r.kind == "misread" and r.page_id >= 9300}
+    assert got == {(9301, "meeting")}
+
+
+def test_a_footer_that_reads_like_prose(spark):
+    df, _ = corpus(spark)
+    line = "This transcript is confidential and may not be copied without the leave of the board."
+    rows = [(9400 + p, 9400, p, "\n".join([SENTENCES[(p + k) % 5] for k in range(7)] + [line]), [], "") for p in range(1, 6)]
+    got = {(r.page_id, r.found_text) for r in found_noise(df.unionByName(spark.createDataFrame(rows, df.schema))).collect() if r.kind == "header" and r.page_id >= 9400}
+    assert got == {(9400 + p, line) for p in range(1, 6)}
+
+
 def test_empty(spark):
     df, _ = corpus(spark)
     assert found_noise(df.limit(0)).count() == 0
