@@ -2,15 +2,17 @@
 
 Payloads come in three shapes (one record, a ``document`` envelope, a ``files``
 list), as JSON objects or as JSON strings holding such an object, with words
-under ``word_boxes`` or ``words``.  ``try_parse_json`` decides what is parseable;
+under ``word_boxes`` or ``words``.  Each payload is parsed once, into a variant;
 a higher-order projection then attaches ancestor keys and positions inside the
 row (nested ``transform``), ``flatten`` joins the arrays and one ``inline`` per
 target table emits the rows, so no level costs a shuffle or a join.
 
-Defined results: null, empty, truncated or non-object payloads give no rows; a
+Defined results: null, empty, truncated or non-object payloads, those with a key
+given twice in one object and those beyond a variant's size give no rows; a
 missing, null or empty array gives no rows below it but keeps its siblings'
 positions; an element that is null keeps its position with null fields; missing
-or malformed boxes and numbers are null; a record received twice counts once.
+or malformed boxes and numbers are null; a record received twice counts once, as
+first received (an unknown time is after every known one).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 _WORD = "array<struct<text:string,box:array<string>,confidence:string>>"
 _PAGE = (
     "struct<page:string,source:string,text:string,chars:string,confidence:string,needs_review:string,review_reason:string,"
-    "error:string,duration_ms:string,size_px:array<string>,low_confidence_words:array<string>,words:string,word_boxes:string>"
+    "error:string,duration_ms:string,size_px:array<string>,low_confidence_words:array<string>,words:variant,word_boxes:variant>"
 )
 _FILE = (
     "struct<relpath:string,source_path:string,size_bytes:string,page_count:string,status:string,error:string,"
@@ -31,27 +33,29 @@ _RECORD = _FILE[:-1] + f",run_id:string,document:{_FILE},files:array<{_FILE}>>"
 _FILE_FIELDS = ("relpath", "source_path", "size_bytes", "page_count", "status", "error", "duplicate_of", "outputs", "pages")
 
 
-def _unwrapped(payload: Column) -> Column:
-    """The object inside a payload that may be a JSON string, or a string of a string, of it."""
-    text = F.when(F.expr("try_parse_json(payload) is not null"), payload)
-    for _ in range(2):
-        inner = F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")
-        text = F.when(F.ltrim(text).startswith('"'), inner).otherwise(text)
-    return F.when(F.ltrim(text, F.lit(" \t\r\n")).startswith("{"), text)
+def _once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """``df`` with new columns that are computed once per row, however often later expressions name them.
+
+    A generator is the one operator expressions are not inlined through.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def parsed(raw: DataFrame) -> DataFrame:
     """(record_id, received_at, files): every parseable record once, its files as one array."""
-    once = raw.select("record_id", "received_at", "payload").where("record_id is not null and payload is not null")
-    once = once.groupBy("record_id", F.md5("payload").alias("_h")).agg(F.min("received_at").alias("received_at"), F.any_value("payload").alias("payload"))
-    # copies of one record in another spelling: the first received counts
-    once = once.groupBy("record_id").agg(F.min_by(F.struct("received_at", "payload"), F.struct("received_at", "_h")).alias("_r")).select("record_id", "_r.*")
-    body = once.withColumn("body", _unwrapped(F.col("payload"))).where("body is not null")
-    body = body.where(F.expr("try_parse_json(body) is not null"))
-    rec = body.select("record_id", "received_at", F.from_json("body", _RECORD).alias("r"))
-    own = F.array(F.struct(*[F.col(f"r.{f}").alias(f) for f in _FILE_FIELDS]))
-    files = F.when(F.col("r.files").isNotNull(), F.col("r.files")).when(F.col("r.document").isNotNull(), F.array("r.document")).otherwise(own)
-    return rec.select("record_id", "received_at", files.alias("files"))
+    given = raw.select("record_id", "received_at", "payload").where("record_id is not null and payload is not null")
+    # of copies, also in another spelling, the first received counts; the payload crosses the network once
+    order = F.struct(F.col("received_at").isNull().alias("unknown"), "received_at", F.md5("payload").alias("h"))
+    one = given.groupBy("record_id").agg(F.min_by("payload", order).alias("payload"), F.min("received_at").alias("received_at"))
+    keep = ("record_id", "received_at")
+    body = _once(one, *keep, v=F.try_parse_json("payload"))
+    for _ in range(2):  # a JSON string, or a string of a string, that holds the object
+        inner = F.when(F.schema_of_variant("v") == "STRING", F.try_parse_json(F.try_variant_get("v", "$", "string"))).otherwise(F.col("v"))
+        body = _once(body.where("v is not null"), *keep, v=inner)
+    body = body.where(F.schema_of_variant("v").startswith("OBJECT"))
+    rec = body.select(*keep, F.inline(F.array(F.try_variant_get("v", "$", _RECORD))))
+    own = F.array(F.struct(*_FILE_FIELDS))
+    return _once(rec, *keep, files=F.when(F.col("files").isNotNull(), F.col("files")).when(F.col("document").isNotNull(), F.array("document")).otherwise(own))
 
 
 def _number(c: Column, kind: str) -> Column:
@@ -60,9 +64,7 @@ def _number(c: Column, kind: str) -> Column:
 
 def _words(page: Column) -> Column:
     """The word array of a page: ``word_boxes`` where it is an array, else ``words`` where that is one."""
-    boxes = F.when(F.ltrim(page["word_boxes"]).startswith("["), page["word_boxes"])
-    plain = F.when(F.ltrim(page["words"]).startswith("["), page["words"])
-    return F.coalesce(F.from_json(F.coalesce(boxes, plain), _WORD), F.expr(f"cast(array() as {_WORD})"))
+    return F.coalesce(*[F.try_variant_get(page[c], "$", _WORD) for c in ("word_boxes", "words")], F.expr(f"cast(array() as {_WORD})"))
 
 
 def flat_files(raw: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.operators.changed import changed_per_run
-from leafmill.operators.nested import flat_files, flat_pages, found_words
+from leafmill.operators.changed import ChangeState, changed_per_run
+from leafmill.operators.nested import flat_files, flat_pages, flat_words, found_words
+from leafmill.storage import new_path
 from leafmill.tables import table
 
 
@@ -13,7 +14,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "files", "run_id", "relpath", "size_bytes", "modified", "error", "seen_at")
     ledger = table(spark, sf_dir, "ledger", "work_dir", "relpath", "size", "mtime", "recipe", "recorded_at")
     runs = table(spark, sf_dir, "runs", "run_id", "work_dir", "started_at", "recipe")
-    return changed_per_run(files, ledger, runs)
+    return changed_per_run(files, ledger, runs, ChangeState(spark, new_path(spark, "state"), ["work_dir", "relpath"], history=True))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +29,12 @@ def p5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_pages(table(spark, sf_dir, "raw_results"))
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_files": p5_files, "p5_pages": p5_pages}
+def p5_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its box and its parents' positions."""
+    return flat_words(table(spark, sf_dir, "raw_results"))
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_files": p5_files, "p5_pages": p5_pages, "p5_words": p5_words}
 
 _RECORDS = """
 with valid as (select distinct record_id, payload from raw_results where payload is not null and json_valid(payload)),
@@ -58,6 +64,16 @@ l as (
 select x.run_id as run_id, x.relpath as relpath
 from x left join l on l.run_id = x.run_id and l.relpath = x.relpath
 where not coalesce(s.size = size_bytes and (s.mtime < 0 or abs(s.mtime - modified) <= 1.0) and s.recipe is not distinct from x.recipe, false)
+""",
+    "p5_words": _RECORDS
+    + """, wl as (
+  select record_id, file_pos, page_pos, cast(case when json_type(page, '$.word_boxes') = 'ARRAY' then json_extract(page, '$.word_boxes')
+    when json_type(page, '$.words') = 'ARRAY' then json_extract(page, '$.words') end as json[]) as ws from p),
+w as (select record_id, file_pos, page_pos, unnest(generate_series(0, len(ws) - 1)) as word_pos, unnest(ws) as word from wl where ws is not null)
+select record_id, cast(file_pos as int) as file_pos, cast(page_pos as int) as page_pos, cast(word_pos as int) as word_pos,
+  json_extract_string(word, '$.text') as word, try_cast(json_extract_string(word, '$.box[0]') as double) as x0,
+  try_cast(json_extract_string(word, '$.box[1]') as double) as y0, try_cast(json_extract_string(word, '$.box[2]') as double) as x1,
+  try_cast(json_extract_string(word, '$.box[3]') as double) as y1, try_cast(json_extract_string(word, '$.confidence') as double) as confidence from w
 """,
     "p5_found": _RECORDS
     + """, wl as (

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators.changed import RECIPE_FIELDS, ChangeState, changed_per_run, content_hash
+from leafmill.storage import new_path
 
 T0 = datetime(2024, 1, 1)
 RECIPE = "struct<dpi:int,lang:string,psm:int,force_ocr:boolean,deskew:boolean,denoise:boolean,orient:boolean,pdf_keeps_source_image:boolean,txt_keeps_layout:boolean>"
@@ -22,7 +23,8 @@ def tables(spark, files, ledger, runs):
 
 
 def found(spark, files, ledger, runs):
-    return sorted(tuple(r) for r in changed_per_run(*tables(spark, files, ledger, runs)).collect())
+    state = ChangeState(spark, new_path(spark, "state"), ["work_dir", "relpath"], history=True)
+    return sorted(tuple(r) for r in changed_per_run(*tables(spark, files, ledger, runs), state).collect())
 
 
 def test_new_changed_and_settled(spark):
@@ -78,7 +80,7 @@ def test_state_survives_a_crash_between_write_and_swap(spark, tmp_path, monkeypa
     again = rows(spark, ("a", "1", 1.5), ("b", "2", 1.0), ("c", "1", 1.0))
     assert {r.k for r in state.pending(again).collect()} == {"b", "c"}
     before = state.version()
-    monkeypatch.setattr(state, "_swap", lambda v: (_ for _ in ()).throw(RuntimeError("died")))
+    monkeypatch.setattr(state, "_swap", lambda *v: (_ for _ in ()).throw(RuntimeError("died")))
     with pytest.raises(RuntimeError):
         state.commit(again)
     monkeypatch.undo()
@@ -87,3 +89,40 @@ def test_state_survives_a_crash_between_write_and_swap(spark, tmp_path, monkeypa
     state.commit(state.pending(again))
     assert state.pending(again).count() == 0
     assert sorted((r.k, r.content) for r in state.read(first).collect()) == [("a", "1"), ("b", "2"), ("c", "1")]
+
+
+def test_two_committers_keep_both_their_rows(spark, tmp_path, monkeypatch):
+    one = ChangeState(spark, f"file://{tmp_path}/state", ["k"])
+    two = ChangeState(spark, f"file://{tmp_path}/state", ["k"])
+    one.commit(rows(spark, ("a", "1", 1.0)))
+    seen = one.version
+    stale = iter([1])
+    two.commit(rows(spark, ("b", "1", 1.0)))
+    # the first still believes version 1 to be the newest: its swap meets version 2 and is made again on top of it
+    monkeypatch.setattr(one, "version", lambda: next(stale, None) or seen())
+    one.commit(rows(spark, ("c", "1", 1.0)))
+    monkeypatch.undo()
+    assert one.version() == 3 and {r.k for r in one.read(rows(spark, ("x", "1", 1.0))).collect()} == {"a", "b", "c"}
+
+
+def test_parts_are_folded_and_old_ones_removed(spark, tmp_path):
+    state = ChangeState(spark, f"file://{tmp_path}/state", ["k"])
+    state.COMPACT_AT = 2
+    for n in range(4):
+        state.commit(rows(spark, ("a", str(n), 1.0), (f"k{n}", "1", 1.0)))
+    like = rows(spark, ("x", "1", 1.0))
+    whole = {(r.k, r.content) for r in state.read(like).collect()}
+    assert whole == {("a", "3"), ("k0", "1"), ("k1", "1"), ("k2", "1"), ("k3", "1")}
+    assert len(state.parts(state.version())) <= 2
+    assert state.vacuum(keep=1, grace_s=0.0) > 0
+    assert {(r.k, r.content) for r in state.read(like).collect()} == whole
+    assert len(state._files("parts")) == len(state.parts(state.version()))
+
+
+def test_crash_while_writing_a_part_changes_nothing(spark, tmp_path):
+    state = ChangeState(spark, f"file://{tmp_path}/state", ["k"])
+    state.commit(rows(spark, ("a", "1", 1.0)))
+    bad = rows(spark, ("b", "1", 1.0)).withColumn("content", F.raise_error(F.lit("died")).cast("string"))
+    with pytest.raises(Exception, match="died"):
+        state.commit(bad)
+    assert state.version() == 1 and state.pending(rows(spark, ("a", "1", 1.0), ("b", "1", 1.0))).count() == 1
