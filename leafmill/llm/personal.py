@@ -1,23 +1,33 @@
 """Personal information in free text: found, and replaced by typed placeholders.
 
-Pieces are found by shape and context.  Numbers that a person is known by are
-told from numbers of things (cases, lots, meters, orders) by the words before
-and after them; names are told from firms, places and streets by their shape
-and by the words they stand beside.  In the placeholder a validated number
-keeps its format: its digits go through a keyed Feistel permutation of their own
-domain, so equal numbers stay equal in every document, different numbers stay
+Pieces are found by shape, context and validity.  Numbers that a person is known
+by are told from numbers of things (cases, lots, meters, orders) by the words
+before and after them and by what their kind allows (parts of a social security
+number that are never zero, prefixes of insurance numbers, first digits of area
+and exchange codes, days that exist); names are told from firms, places and
+streets by their shape and by the words they stand beside.  In the placeholder a
+number keeps its format: what identifies it (the national number of a phone
+without country code, trunk zero and extension; the digits of an id number; the
+day of a date) goes through a keyed Feistel permutation of its own domain, so
+equal numbers stay equal in every document and spelling, different numbers stay
 different, and nobody without the key can go back.  Emails, names and addresses
 get a keyed tag in the same way.
 
+Limits of the checks: social security areas from 900 and the insurance prefix QQ
+(numbers kept for examples and taxpayers) count as valid, as do area codes such
+as 911; plain numbers after a label are checked by length only.
+
 Defined results: null, empty and blank texts hold nothing and come back as they
 are; pieces never overlap (email before id, phone, address and person); a piece
 that stands twice in a text is reported once; white space inside a piece counts
 as one space; texts of any length are read whole; repeated pages give their
-rows once.
+rows once.  Dates of a person (birth, issue, expiry: a date after such a word) are
+replaced in ``redact``; they are no kind of ``find``.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
 import re
@@ -93,6 +103,7 @@ Archive Agency Association Authority Bank Board Bureau Centre Center Church City
 Foundation Group Holdings Hospital Hotel House Inc Institute Insurance Limited Ltd Market Ministry Motors Museum Mutual Office Partners Precinct Railway School Services
 Society State Station Store Trust Union University Works
 Avenue Ave Blvd Boulevard Calle Crescent Drive Lane Road Rd Ln Ct Street St Way Place Square Gate Hollow Mill Pit Rest Hill Bridge
+New Old Great North South East West Northern Southern Eastern Western Upper Lower Central Greater Little Saint Machine
 Der Die Das Den Dem Des Ein Eine Einen Und Am Im An Auf Aus Bei Bis Für Laut Mit Nach Seit Trotz Über Um Unter Vom Von Vor Während Wegen Zu Zum Zur Es Er Sie Wir Ich Man
 El La Los Las Un Una Uno Del Con Cuando Desde Durante En Entre Hasta Ningún Para Pero Por Porque Que Queda Según Se Si Sin Sobre Tras Su Sus No Aunque Como
 """.split()
@@ -106,7 +117,8 @@ Pit Rest Hill Bridge
 """.split()
 _PLACE_SET = frozenset(w.lower() for w in _PLACES)
 _BREAK = r"(?:[-‐¬­] ?\n\s*[a-z]+)?"
-_PART = rf"(?:[A-Z][a-z]{{2,}}{_BREAK}|[A-Z]{{3,}})"
+_UP, _LOW = "A-ZÁÀÂÉÈÍÓÔÚÑÇŁŚŻ", "a-záàâãéèêëíîïóòôõúùûñçłńśźżąćę"
+_PART = rf"(?:[{_UP}][{_LOW}]{{2,}}{_BREAK}|[A-Z]{{3,}})"
 _LAST = rf"{_PART}(?:-\s?{_PART})?"
 _PERSON = re.compile(
     rf"{_LAST}(?:(?P<comma>,)\s{{1,2}}(?:{_PART}(?: +[A-Z]\.)?|[A-Z]\.(?:\s?[A-Z]\.)?)|\s{{1,2}}(?:[A-Z]\.\s+){{0,2}}{_LAST})(?![\w@']|-\w)"
@@ -116,6 +128,8 @@ _TOKEN = re.compile(rf"{_PART}|[A-Z]\.")
 _JOIN = re.compile(r"[-‐¬­] ?\n\s*(?=[a-z])")
 _NEXT_WORD = re.compile(r"[\s,&-]{1,3}([A-Za-z]+)")
 _RUN_AFTER = re.compile(r"\s[A-Z]{3,}\b")
+#: Fixed value: the exchange kept for directory enquiries and examples, which no other number uses.
+OPEN_EXCHANGES = ("555",)
 _FIGURES = re.compile(r"\d[\d\s().+-]{4,}\d")
 _NON_DIGIT = re.compile(r"\D")
 _EXTENSION = re.compile(r"(?i)ext|x")
@@ -123,6 +137,71 @@ _LETTERS = re.compile(r"[A-Za-z]{2,}")
 _SPACE = re.compile(r"\s+")
 
 
+def valid_ssn(digits: str) -> bool:
+    """No area 000 or 666, no group 00, no serial 0000; areas from 900 are no social security numbers and bound by none of this."""
+    return digits[0] == "9" or (digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000")
+
+
+# Letters and prefixes national insurance numbers are never given.
+_NINO_NEVER = ("DFIUV", "DFIOUV", ("BG", "GB", "NK", "KN", "TN", "NT", "ZZ"))
+
+
+def valid_nino(piece: str) -> bool:
+    letters = piece[:2]
+    return letters == "QQ" or (letters[0] not in _NINO_NEVER[0] and letters[1] not in _NINO_NEVER[1] and letters not in _NINO_NEVER[2])
+
+
+def phone_parts(piece: str) -> tuple[str, str, str] | None:
+    """(country, national number, extension) of a phone number, None where its plan does not allow it.
+
+    Without a country code a number with a trunk zero is British, any other North
+    American; a local number keeps its seven digits.
+    """
+    main, *rest = _EXTENSION.split(piece, maxsplit=1)
+    extension = _NON_DIGIT.sub("", rest[0]) if rest else ""
+    digits = _NON_DIGIT.sub("", main)
+    if main.lstrip().startswith("+") and not digits.startswith("1"):
+        country = digits[: max(2, min(3, len(digits) - 10))]
+        national = digits[len(country) :].removeprefix("0")
+        return (country, national, extension) if 6 <= len(national) <= 12 and len(digits) <= 15 else None
+    if digits.startswith("0"):
+        return ("44", digits[1:], extension) if len(digits) in (10, 11) and digits[1] != "0" else None
+    if len(digits) == 11 and digits[0] == "1":
+        digits = digits[1:]
+    if len(digits) == 7:
+        return ("1", digits, extension) if digits[0] > "1" else None
+    return ("1", digits, extension) if len(digits) == 10 and digits[0] > "1" and digits[3] > "1" else None
+
+
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+_DATE = re.compile(
+    rf"(?<![\w./-])(?:(?P<y1>\d{{4}})(?P<s1>[-/.])(?P<m1>\d{{1,2}})(?P=s1)(?P<d1>\d{{1,2}})|(?P<a2>\d{{1,2}})(?P<s2>[-/.])(?P<b2>\d{{1,2}})(?P=s2)(?P<y2>\d{{4}})"
+    rf"|(?P<d3>\d{{1,2}})\s(?P<m3>{_MONTH})\.?,?\s(?P<y3>\d{{4}})|(?P<m4>{_MONTH})\.?\s(?P<d4>\d{{1,2}}),?\s(?P<y4>\d{{4}}))(?![\w/-]|\.\d)",
+    re.I,
+)
+_DATE_CUE = re.compile(r"(?:\bD\.?O\.?B\.?|\bborn(?:\s+on)?|\bbirth(?:date|day)?|\bdate\s+of\s+(?:birth|issue|expiry)|\bissued(?:\s+on)?|\bexpir(?:es|y|ation)(?:\s+(?:on|date))?)\s*[:.#-]?\s*$", re.I)
+#: Days a date is permuted within.
+FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+
+
+def day_of(m: re.Match) -> int | None:
+    """The ordinal of a written date within the permuted days; where day and month can be told only by custom, the month stands first."""
+    g = m.groupdict()
+    if g["y1"]:
+        y, mo, d = g["y1"], g["m1"], g["d1"]
+    elif g["y2"]:
+        y, mo, d = (g["y2"], g["b2"], g["a2"]) if int(g["a2"]) > 12 or g["s2"] == "." else (g["y2"], g["a2"], g["b2"])
+    else:
+        y, name, d = (g["y3"], g["m3"], g["d3"]) if g["y3"] else (g["y4"], g["m4"], g["d4"])
+        mo = next(k for k, x in enumerate(_MONTHS, 1) if x.startswith(name.lower()[:3]))
+    try:
+        day = datetime.date(int(y), int(mo), int(d)).toordinal()
+    except ValueError:
+        return None
+    return day if FIRST_DAY <= day <= LAST_DAY else None
+
+
 def _squeezed(piece: str) -> str:
     return _SPACE.sub(" ", piece).strip()
 
@@ -152,6 +231,10 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
                 ok = bool(_LABEL.search(before)) or (kind == "ssn" and not _NOT_PHONE_BEFORE.search(before))
             else:
                 ok = bool(_LABEL.search(before)) or not _NOT_PHONE_BEFORE.search(before)
+            if kind == "ssn":
+                ok = ok and valid_ssn(_NON_DIGIT.sub("", m.group()))
+            elif kind == "nino":
+                ok = ok and valid_nino(m.group())
             if ok:
                 found.append((a, m.end(), "id_number"))
     body = blank(body, n)
@@ -162,10 +245,11 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             before = _JOIN.sub("", body[max(0, a - 40) : a])
             if _NOT_PHONE_BEFORE.search(before) or _UNITS_AFTER.match(body, b):
                 continue
-            digits = "".join(c for c in piece if c.isdigit())
-            bare = piece[: len(digits)].isdigit()
-            local = len(_NON_DIGIT.sub("", _EXTENSION.split(piece)[0])) == 7
-            if (bare or local) and not (_PHONE_CUE.search(before) or "555" in piece[:6]):
+            parts = phone_parts(piece)
+            if parts is None:
+                continue
+            # seven digits in the shape of a local number, or ten in a row, are a phone by their words or by their exchange
+            if (len(parts[1]) == 7 or piece.isdigit()) and not (_PHONE_CUE.search(before) or parts[1][-7:-4] in OPEN_EXCHANGES):
                 continue
             found.append((a, b, "phone"))
     at = 0
@@ -253,25 +337,65 @@ def permute_date(ordinal: int, first: int, last: int, key: bytes) -> int:
             return first + x
 
 
+def _key(key: bytes, use: str) -> bytes:
+    return hmac.new(key, use.encode(), hashlib.sha256).digest()
+
+
+def _refilled(piece: str, digits: str) -> str:
+    """The piece with its last ``len(digits)`` digits replaced."""
+    at = [k for k, c in enumerate(piece) if c.isascii() and c.isdigit()][-len(digits) :] if digits else []
+    out = list(piece)
+    for k, c in zip(at, digits):
+        out[k] = c
+    return "".join(out)
+
+
 def pseudonym(piece: str, kind: str, key: bytes) -> str:
-    """The placeholder of a piece: typed, and the same for equal values of the kind."""
-    if kind in ("phone", "id_number"):
-        digits = "".join(c for c in piece if c.isascii() and c.isdigit())
-        if 6 <= len(digits) <= 20:
-            # digits are permuted as one string, so the separators a writer chose do not break the link
-            moved = iter(feistel_digits(digits, hmac.new(key, kind.encode(), hashlib.sha256).digest()))
-            return f"[{kind.upper()} {''.join(next(moved) if c.isascii() and c.isdigit() else c for c in _squeezed(piece))}]"
+    """The placeholder of a piece: typed, and the same for equal values of the kind in any spelling."""
+    piece = _squeezed(piece)
+    if kind == "phone" and (parts := phone_parts(piece)):
+        country, national, extension = parts
+        main = piece[: m.start()] if (m := _EXTENSION.search(piece)) else piece
+        moved = _refilled(main, feistel_digits(national, _key(key, f"phone {country} {len(national)}")))
+        return f"[PHONE {moved}{_refilled(piece[len(main):], feistel_digits(extension, _key(key, 'extension')))}]"
+    digits = "".join(c for c in piece if c.isascii() and c.isdigit())
+    if kind == "id_number" and digits:
+        return f"[ID_NUMBER {_refilled(piece, feistel_digits(digits, _key(key, kind)))}]"
     plain = re.sub(r"[\W_]+", " ", piece).strip().lower()
     return f"[{kind.upper()} {hmac.new(key, f'{kind}|{plain}'.encode(), hashlib.sha256).hexdigest()[:10]}]"
 
 
+def date_pseudonym(m: re.Match, key: bytes) -> str | None:
+    """The placeholder of a written date: another day in the same way of writing; None where it is no day."""
+    day = day_of(m)
+    if day is None:
+        return None
+    moved = datetime.date.fromordinal(permute_date(day, FIRST_DAY, LAST_DAY, _key(key, "date")))
+    g = m.groupdict()
+    if g["y1"]:
+        text = f"{moved.year}{g['s1']}{moved.month:0{len(g['m1'])}d}{g['s1']}{moved.day:0{len(g['d1'])}d}"
+    elif g["y2"]:
+        first, second = (moved.day, moved.month) if int(g["a2"]) > 12 or g["s2"] == "." else (moved.month, moved.day)
+        text = f"{first:02d}{g['s2']}{second:02d}{g['s2']}{moved.year}"
+    else:
+        name = _MONTHS[moved.month - 1].capitalize()
+        text = f"{moved.day} {name} {moved.year}" if g["y3"] else f"{name} {moved.day}, {moved.year}"
+    return f"[DATE {text}]"
+
+
 def redact(text: str | None, key: bytes) -> str | None:
-    pieces = find(text)
+    if not text or text.isspace():
+        return text
+    pieces = [(a, b, pseudonym(text[a:b], kind, key)) for a, b, kind in find(text)]
+    taken = [(a, b) for a, b, _ in pieces]
+    for m in _DATE.finditer(text):
+        if _DATE_CUE.search(text[max(0, m.start() - 24) : m.start()]) and all(m.end() <= a or m.start() >= b for a, b in taken) and (moved := date_pseudonym(m, key)):
+            pieces.append((m.start(), m.end(), moved))
     if not pieces:
         return text
     out, at = [], 0
-    for a, b, kind in pieces:
-        out += [text[at:a], pseudonym(text[a:b], kind, key)]
+    for a, b, placeholder in sorted(pieces):
+        out += [text[at:a], placeholder]
         at = b
     out.append(text[at:])
     return "".join(out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +63,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.leafmill.pseudonym.key", "leafmill").encode()
+    """Pages with placeholders, under the key ``spark.leafmill.pseudonym.key``; where none is set, under one nobody will know, so links hold within this result only."""
+    stated = spark.conf.get("spark.leafmill.pseudonym.key", None)
+    key = stated.encode() if stated else secrets.token_bytes(32)
     return personal.redacted(unique_pages(spark, sf_dir, "text"), key)
 
 
@@ -86,7 +90,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [r[0] for r in table(spark, sf_dir, "subjects", "subject").where("subject is not null").distinct().orderBy("subject").limit(1_000).collect()]
+    names = [r[0] for r in table(spark, sf_dir, "subjects", "subject").where("subject is not null").distinct().orderBy("subject").limit(1_001).collect()]
+    if len(names) > 1_000:
+        raise ValueError("subjects is meant to be a short list")
     words = frozenset(w for own in _function_words(spark, sf_dir).values() for w in own)
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     return subjects.subjects_of(documents, table(spark, sf_dir, "doc_labels", "doc_id", "subject", "labelled_by"), names, words)

@@ -67,3 +67,46 @@ def test_redaction_keeps_the_rest(spark):
     assert found_pieces(df).count() == len(set(pieces(text))) and found_pieces(df.limit(0)).count() == 0
     assert redacted(df, b"k").where("text is null").count() == 1
     assert find("word " * 200_000 + "K. Bulander") == [(1_000_000, 1_000_011, "person")]
+
+
+def test_numbers_no_kind_allows_are_no_pieces():
+    from leafmill.llm.personal import find, phone_parts
+
+    for text in ("SSN 000-12-3456", "SSN 666-12-3456", "SSN 123-00-4567", "SSN 123-45-0000", "NI number BG 12 34 56 A", "call 155-123-4567", "call 212-155-4567"):
+        assert find(text) == [], text
+    assert [k for *_, k in find("SSN 123-45-6789 and NI number AB 12 34 56 A")] == ["id_number"] * 2
+    assert phone_parts("+44 20 7946 0958") == phone_parts("020 7946 0958") == ("44", "2079460958", "")
+    assert phone_parts("+1 212 555 0143 x12") == ("1", "2125550143", "12")
+
+
+def test_equal_phones_stay_linked_in_any_spelling():
+    from leafmill.llm.personal import pseudonym
+
+    key = b"k"
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    a, b, c = (pseudonym(t, "phone", key) for t in ("+1 212 555 0143", "212-555-0143", "(212) 555-0143 x7"))
+    assert digits(a)[1:] == digits(b) == digits(c)[:10] != "2125550143" and a.startswith("[PHONE +1 ")
+    assert digits(pseudonym("+44 20 7946 0958", "phone", key))[2:] == digits(pseudonym("020 7946 0958", "phone", key))[1:]
+
+
+def test_dates_of_a_person_are_permuted_in_their_format():
+    import datetime
+    import re
+
+    from leafmill.llm.personal import redact
+
+    key = b"k"
+    out = redact("DOB: 1981-03-12, born 12 March 1981, hearing on 1981-03-12. DOB 1981-02-31", key)
+    iso = re.search(r"DOB: \[DATE (\d{4}-\d\d-\d\d)\]", out)[1]
+    moved = datetime.date.fromisoformat(iso)
+    assert moved != datetime.date(1981, 3, 12)
+    assert f"[DATE {moved.day} {moved:%B} {moved.year}]" in out
+    assert "hearing on 1981-03-12." in out and out.endswith("DOB 1981-02-31")
+
+
+def test_places_are_no_persons_and_accents_belong_to_names():
+    from leafmill.llm.personal import find
+
+    assert [t for t in ("New York", "South Africa", "Great Britain", "Machine Learning") if find(f"They went to {t}.")] == []
+    text = "It was María-José García who came."
+    assert [text[a:b] for a, b, k in find(text) if k == "person"] == ["María-José García"]
