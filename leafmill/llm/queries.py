@@ -52,10 +52,18 @@ def p3_percentiles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.page_percentiles(pages, ["source", "day"])
 
 
+def _p4_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files = table(spark, sf_dir, "files", "run_id", "work_dir", "relpath", "file_id", "sha256")
+    return files, table(spark, sf_dir, "runs", "run_id", "started_at"), table(spark, sf_dir, "pages", "page_id", "file_id", "page_no", "text")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "files", "work_dir", "relpath", "file_id", "sha256")
-    ledger = table(spark, sf_dir, "ledger", "work_dir", "relpath", "sha256")
-    return history.duplicate_pairs(files, ledger, table(spark, sf_dir, "pages", "page_id", "file_id", "page_no", "text"))
+    files, runs, pages = _p4_tables(spark, sf_dir)
+    return history.duplicate_pairs(files, table(spark, sf_dir, "ledger", "work_dir", "relpath", "sha256"), runs, pages)
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.duplicate_classes(*_p4_tables(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +133,7 @@ QUERIES = {
     "p3_percentiles_by_folder": p3_percentiles_by_folder,
     "p3_percentiles_by_day": p3_percentiles_by_day,
     "p4_found": p4_found,
+    "p4_classes": p4_classes,
     "p6_found": p6_found,
     "p6_redacted": p6_redacted,
     "p7_found": p7_found,
