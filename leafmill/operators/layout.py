@@ -6,7 +6,7 @@ higher-order functions: no page is collected anywhere, none is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import stripped
@@ -98,16 +98,37 @@ def line_gaps(pages: DataFrame, keys: list[str], words: str = "words") -> DataFr
     return df.select(*keys, F.inline(out))
 
 
-def words_from_chars(chars: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, word_no, word, x0, y0, x1, y1): runs of characters between white space, boxes united, confidence 100.
+def words_from_chars(chars: Column) -> Column:
+    """Words of a page from its characters (array of c and box, in order): runs between white space, boxes united, confidence 100.
 
-    ``chars`` has one row per character: keys, pos, c and its box.  A word's
-    number is the count of white space before it, a running sum within the page.
+    First and last places of the runs are found in one pass each; all of it happens inside the row.
     """
-    space = ~F.col("c").rlike(r"(?U)\S")
-    run = F.sum(space.cast("int")).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    kept = chars.withColumn("word_no", run).where(~space)
-    letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]), "")
-    return kept.groupBy(*keys, "word_no").agg(
-        letters.alias("word"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.lit(100.0).alias("confidence")
-    )
+    solid = F.transform(chars, lambda x: x["c"].rlike(r"(?U)\S"))
+    places = F.sequence(F.lit(0), F.size(chars) - 1)
+    # (the neighbour's flag comes with each place, so no step looks the array up again)
+    flags = F.arrays_zip(places.alias("i"), solid.alias("on"), F.concat(F.array(F.lit(False)), solid).alias("was"), F.concat(F.slice(solid, 2, F.size(chars)), F.array(F.lit(False))).alias("goes"))
+    flags = F.filter(flags, lambda x: x["on"])
+    first = F.transform(F.filter(flags, lambda x: ~x["was"]), lambda x: x["i"])
+    last = F.transform(F.filter(flags, lambda x: ~x["goes"]), lambda x: x["i"])
+
+    def word(span):
+        own = F.slice(chars, span["a"] + 1, span["b"] - span["a"] + 1)
+        box = [f(own[c]).alias(c) for f, c in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))]
+        return F.struct(F.array_join(F.transform(own, lambda x: x["c"]), "").alias("word"), *box, F.lit(100.0).alias("confidence"))
+
+    return F.when(F.size(chars) > 0, F.transform(F.arrays_zip(first.alias("a"), last.alias("b")), word))
+
+
+def lines_by_band(words: Column, band: float) -> Column:
+    """Lines of a page from words in bands of equal height: array of (line_key, line, x0, x1), inside the row."""
+    key = lambda w: F.floor(w["y0"] / band).cast("bigint")
+    keys = F.array_distinct(F.transform(words, key))
+
+    def line(k):
+        own = F.filter(words, lambda w: key(w).eqNullSafe(k))
+        return F.struct(
+            k.alias("line_key"), F.array_join(F.transform(own, lambda w: w["text"]), " ").alias("line"),
+            F.array_min(F.transform(own, lambda w: w["x0"])).alias("x0"), F.array_max(F.transform(own, lambda w: w["x1"])).alias("x1"),
+        )
+
+    return F.transform(keys, line)

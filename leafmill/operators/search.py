@@ -24,7 +24,7 @@ def hits(pages: DataFrame, query: str) -> DataFrame:
 
 def top_hits(pages: DataFrame, query: str, limit: int = SEARCH_LIMIT) -> DataFrame:
     """The first ``limit`` hits by document and page, and whether there are more: one row more is fetched to know."""
-    first = hits(pages, query).orderBy("file_id", "page_no").limit(limit + 1)
+    first = hits(pages, query).dropDuplicates().orderBy("file_id", "page_no").limit(limit + 1)
     n = first.groupBy().agg((F.count(F.lit(1)) > limit).alias("truncated"))
     return first.orderBy("file_id", "page_no").limit(limit).crossJoin(F.broadcast(n))  # n is one row
 

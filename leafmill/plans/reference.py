@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import names, text
-from leafmill.operators import identity, layout, ledger, pages, progress, rescue, search, tree
+from leafmill.operators import identity, layout, ledger, lookup, pages, progress, rescue, search, tree
 from leafmill.plans.reference_sql import ORACLE
 from leafmill.settings import RESERVED, SUFFIXES
 from leafmill.sources import readings
@@ -87,23 +87,17 @@ def laid_out_text(spark, sf_dir):
 
 
 def lines_from_words(spark, sf_dir):
-    """Words grouped by line box and joined in order, two levels deep."""
-    p = _pages(spark, sf_dir, "words").where("size(words) > 0").select("page_id", F.posexplode("words").alias("pos", "w"))
-    line = F.floor(F.col("w.y0") / 40).cast("bigint")
-    lines = p.groupBy("page_id", line.alias("line_key")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("w.text").alias("text")))), lambda x: x["text"]), " ").alias("line"),
-        F.min("w.x0").alias("x0"),
-        F.max("w.x1").alias("x1"),
-    )
-    return lines
+    """Words grouped by line box and joined in order, inside the row."""
+    p = _pages(spark, sf_dir, "words").where("size(words) > 0")
+    return p.select("page_id", F.inline(layout.lines_by_band(F.col("words"), 40.0)))
 
 
 def words_from_chars(spark, sf_dir):
     """Words of every page from its characters, each in a box ten wide."""
     p = _pages(spark, sf_dir, "text").where("text is not null")
-    c = p.select("page_id", F.posexplode(F.filter(F.split("text", ""), lambda x: x != "")).alias("pos", "c"))
-    c = c.select("page_id", "pos", "c", (F.col("pos") * 10.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("pos") * 10.0 + 10.0).alias("x1"), F.lit(18.0).alias("y1"))
-    return layout.words_from_chars(c, ["page_id"]).select("page_id", "word", F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"))
+    box = lambda c, k: F.struct(c.alias("c"), (k * 10.0).cast("double").alias("x0"), F.lit(0.0).alias("y0"), (k * 10.0 + 10.0).cast("double").alias("x1"), F.lit(18.0).alias("y1"))
+    c = p.select("page_id", F.transform(F.filter(F.split("text", ""), lambda x: x != ""), box).alias("chars"))
+    return c.select("page_id", F.inline(layout.words_from_chars(F.col("chars")))).select("page_id", "word", "x0", "x1")
 
 
 def natural_sort(spark, sf_dir):
@@ -182,7 +176,11 @@ def ledger_twin(spark, sf_dir):
 
 def ledger_upsert(spark, sf_dir):
     """The ledger as each run's records over all earlier ones leave it."""
-    return _entries(spark, sf_dir).select("work_dir", "relpath", "size", "mtime", "pages", "run_id")
+    keys, values = ["work_dir", "relpath"], ["recorded_at", "size", "mtime", "pages", "run_id"]
+    rows = table(spark, sf_dir, "ledger", *keys, *values)
+    last = rows.agg(F.max(F.to_date("recorded_at")).alias("day"))
+    dated = rows.join(F.broadcast(last), F.to_date("recorded_at") == F.col("day"), "left").withColumn("new", F.col("day").isNotNull()).drop("day")  # last is one row
+    return ledger.upserted(dated.where("not new").drop("new"), dated.where("new").drop("new"), keys).select(*keys, *values[1:])
 
 
 def ledger_backfill(spark, sf_dir):
@@ -234,7 +232,7 @@ def search_hits(spark, sf_dir):
 
 
 def search_top(spark, sf_dir):
-    p = _pages(spark, sf_dir, "file_id", "relpath", "page_no", "source", "text")
+    p = table(spark, sf_dir, "pages", "file_id", "relpath", "page_no", "source", "text")
     return search.top_hits(p, QUERY_TEXT).select("file_id", "page_no", "position", "truncated")
 
 
@@ -315,7 +313,9 @@ def events_by_hour(spark, sf_dir):
 
 def rescue_choice(spark, sf_dir):
     """The turn kept for each page when its file's next three pages stand for its turned readings."""
-    p = _pages(spark, sf_dir, "file_id", "page_no", "text", "confidence").select("file_id", "page_no", "page_id", "text", pages.known(F.col("confidence")).alias("confidence"))
+    # of a text only whether it is blank takes part in the choice
+    mark = F.when(text.is_blank(F.col("text")), "").otherwise("x").alias("text")
+    p = _pages(spark, sf_dir, "file_id", "page_no", "text", "confidence").select("file_id", "page_no", "page_id", mark, pages.known(F.col("confidence")).alias("confidence"))
     from pyspark.sql import Window
 
     w = Window.partitionBy("file_id").orderBy("page_no", "page_id")
@@ -345,6 +345,76 @@ def dpi_fit(spark, sf_dir):
     return p.select("page_id", readings.fitted_dpi(F.col("width_px") / 72.0, F.col("height_px") / 72.0, 300).cast("bigint").alias("dpi"))
 
 
+def live_runs(spark, sf_dir):
+    return lookup.live(table(spark, sf_dir, "runs", "run_id", "work_dir", "finished_at"))
+
+
+def run_folders(spark, sf_dir):
+    return lookup.run_folders(table(spark, sf_dir, "file_results", "run_id"), table(spark, sf_dir, "runs", "run_id", "work_dir", "finished_at"))
+
+
+def document_states(spark, sf_dir):
+    return lookup.document_states(table(spark, sf_dir, "file_results", "run_id", "file_id", "status"))
+
+
+def written_counts(spark, sf_dir):
+    return lookup.written_counts(table(spark, sf_dir, "file_results", "run_id", "file_id", "status").distinct())
+
+
+def unreadable_files(spark, sf_dir):
+    return table(spark, sf_dir, "files", "run_id", "relpath", "error").where("error is not null").distinct()
+
+
+def upload_totals(spark, sf_dir):
+    return lookup.arrivals(identity.latest_seen(table(spark, sf_dir, "files", "run_id", "relpath", "size_bytes", "seen_at")))
+
+
+def newest_log(spark, sf_dir):
+    return lookup.newest_lines(table(spark, sf_dir, "events", "event_id", "ts", "event_type"))
+
+
+def run_estimate(spark, sf_dir):
+    totals = pages.run_totals(table(spark, sf_dir, "file_results", "run_id", "status", "page_count", "resumed_pages"))
+    return totals.select("run_id", lookup.planned_seconds(F.col("pages_total"), 8).alias("seconds"))
+
+
+def page_dpi(spark, sf_dir):
+    p = _pages(spark, sf_dir, "width_px", "height_px").where("width_px > 0 and height_px > 0")
+    return p.select("page_id", lookup.scaled_dpi(F.col("width_px"), F.col("height_px"), 300, 2000).alias("dpi"))
+
+
+def flipped_boxes(spark, sf_dir):
+    p = _pages(spark, sf_dir, "words", "height_px").where("size(words) > 0")
+    return p.select("page_id", F.inline(lookup.flipped(F.col("words"), F.col("height_px").cast("double"))))
+
+
+def preview_headline(spark, sf_dir):
+    """What the preview of each run's folder says: documents to read and documents done."""
+    r = lookup.written_counts(table(spark, sf_dir, "file_results", "run_id", "file_id", "status").distinct())
+    return r.select("run_id", lookup.headline(F.col("total") - F.col("written"), F.col("written")).alias("headline"))
+
+
+def shown_tree(spark, sf_dir):
+    """Rows of the tree with its first level open: (path, depth, place) depth first, folders before files, place within the first folder."""
+    f = table(spark, sf_dir, "files", "relpath").distinct()
+    parts = F.split("relpath", "/")
+    up_to = lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    rows = f.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(2))), lambda n: F.struct(up_to(n).alias("path"), n.alias("depth"), (n < F.size(parts)).alias("folder")))).alias("r"))
+    rows = rows.select("r.*").distinct().withColumn("top", F.get(F.split("path", "/"), 0))
+    order = [F.col("depth"), (~F.col("folder")).cast("int"), names.natural_path_key(F.col("path")), F.col("path")]
+    return rows.select("path", "depth", "folder", identity.running_number(rows, ["top"], order).cast("bigint").alias("place"))
+
+
+def supported_suffix(spark, sf_dir):
+    f = table(spark, sf_dir, "files", "relpath").distinct()
+    return f.select("relpath", names.suffix(F.col("relpath")).isin(*SUFFIXES).alias("supported"))
+
+
+def reserved_dirs(spark, sf_dir):
+    f = table(spark, sf_dir, "files", "relpath").distinct()
+    return f.select("relpath", F.arrays_overlap(F.split("relpath", "/"), F.array(*[F.lit(r) for r in RESERVED])).alias("reserved"))
+
+
 QUERIES = {
     "page_report": page_report, "document_summary": document_summary, "run_totals": run_totals, "all_page_totals": all_page_totals, "flag_pages": flag_pages,
     "route_text_layer": route_text_layer, "low_confidence_words": low_confidence_words, "word_char_counts": word_char_counts, "tidy_text": tidy_text,
@@ -356,7 +426,10 @@ QUERIES = {
     "search_hits": search_hits, "search_top": search_top, "find_in_document": find_in_document, "highlight": highlight, "eta_throughput": eta_throughput,
     "running_progress": running_progress, "interrupted_status": interrupted_status, "recents": recents, "duration_text": duration_text, "artefact_paths": artefact_paths,
     "safe_paths": safe_paths, "document_text": document_text, "document_json": document_json, "events_filter_log": events_filter_log, "events_by_hour": events_by_hour,
-    "events_stream_totals": events_stream_totals, "rescue_choice": rescue_choice, "tsv_words": tsv_words, "osd_parse": osd_parse, "dpi_fit": dpi_fit,
+    "events_stream_totals": events_stream_totals, "rescue_choice": rescue_choice, "live_runs": live_runs, "run_folders": run_folders, "document_states": document_states,
+    "written_counts": written_counts, "unreadable_files": unreadable_files, "upload_totals": upload_totals, "newest_log": newest_log, "run_estimate": run_estimate, "page_dpi": page_dpi,
+    "flipped_boxes": flipped_boxes, "preview_headline": preview_headline, "shown_tree": shown_tree, "supported_suffix": supported_suffix, "reserved_dirs": reserved_dirs,
+    "tsv_words": tsv_words, "osd_parse": osd_parse, "dpi_fit": dpi_fit,
 }
 
 __all__ = ["ORACLE", "QUERIES"]

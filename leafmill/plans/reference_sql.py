@@ -64,6 +64,43 @@ select page_id, {STRIP.format('t')} as tidied from c""",
     "char_width_median": f"""with {U}, w as (select page_id, unnest(words) as w from u), m as (
   select page_id, median((w.x1 - w.x0) / length(w.text)) filter (length(w.text) > 0 and w.x1 > w.x0) as cw, median(w.y1 - w.y0) filter (w.y1 > w.y0) as lh from w group by 1)
 select page_id, round_even(cw, 6) as char_width, round_even(coalesce(lh, cw * 2), 6) as line_height from m""",
+    "document_json": f"""with {U}, p as (select file_id, page_no, source, {CONF} as c, needs_review from u)
+select file_id, '[' || string_agg('{{' || concat_ws(',', '"page":' || page_no, '"source":' || to_json(source), '"confidence":' || cast(c as varchar), '"needs_review":' || cast(needs_review as varchar)) || '}}', ','
+  order by page_no nulls first, source nulls first, c nulls first, needs_review nulls first) || ']' as pages from p group by 1""",
+    "line_gaps": f"""with recursive {U}, x as (select page_id, unnest(words) as w from u where len(words) > 0),
+m as (select page_id, median(case when length(w.text) > 0 and w.x1 > w.x0 then (w.x1 - w.x0) / length(w.text) end) as cw, median(case when w.y1 > w.y0 then w.y1 - w.y0 end) as lh from x group by 1),
+o as (select x.page_id, (w.y0 + w.y1) / 2 as c, coalesce(lh, cw * 2) * 0.5::double as half, row_number() over (partition by x.page_id order by (w.y0 + w.y1) / 2, w.x0, w.text) as k from x join m on m.page_id = x.page_id),
+r as (select page_id, k, c as centre, cast(0 as bigint) as line_no from o where k = 1
+  union all select o.page_id, o.k, case when coalesce(abs(o.c - r.centre) <= o.half, false) then (r.centre + o.c) / 2 else o.c end,
+    case when coalesce(abs(o.c - r.centre) <= o.half, false) then r.line_no else r.line_no + 1 end from r join o on o.page_id = r.page_id and o.k = r.k + 1),
+l as (select page_id, line_no, arg_max(centre, k) as centre from r group by 1, 2)
+select page_id, line_no, round_even(centre, 6) as centre, round_even(centre - lag(centre) over (partition by page_id order by line_no), 6) as gap from l""",
+    "live_runs": "select distinct run_id, work_dir from runs where finished_at is null",
+    "run_folders": """select x.run_id, coalesce(max(case when r.finished_at is null then r.work_dir end), max(r.work_dir)) as folder,
+  coalesce(bool_or(r.run_id is not null and r.finished_at is null), false) as going from (select distinct run_id from file_results) x left join runs r on r.run_id = x.run_id group by 1""",
+    "document_states": "select distinct run_id, file_id, status, status not in ('done', 'failed', 'skipped', 'copied', 'cancelled') as pending from file_results",
+    "written_counts": """select run_id, count(*) filter (status in ('done', 'copied', 'skipped')) as written, count(*) as total
+from (select distinct run_id, file_id, status from file_results) group by 1""",
+    "unreadable_files": "select distinct run_id, relpath, error from files where error is not null",
+    "upload_totals": """select run_id, count(*) as files, cast(coalesce(sum(size_bytes), 0) as bigint) as bytes
+from (select run_id, relpath, max(struct_pack(seen_at := seen_at, size_bytes := size_bytes)).size_bytes as size_bytes from files group by 1, 2) group by 1""",
+    "newest_log": "select event_id, ts, event_type from events order by ts desc, event_id desc limit 400",
+    "run_estimate": """select run_id, round_even(cast(coalesce(sum(case when status not in ('skipped', 'failed', 'copied') then page_count - coalesce(resumed_pages, 0) end), 0) as bigint) * 1400 / 8000.0::double, 3) as seconds
+from file_results group by 1""",
+    "page_dpi": f"with {U} select page_id, cast(floor(300.0::double * least(1.0::double, 2000.0::double / greatest(width_px, height_px))) as int) as dpi from u where width_px > 0 and height_px > 0",
+    "flipped_boxes": f"""with {U}, w as (select page_id, height_px, cast(unnest(generate_series(0, len(words) - 1)) as int) as word_pos, unnest(words) as w from u where len(words) > 0)
+select page_id, word_pos, w.text as word, height_px - w.y1 as y0, height_px - w.y0 as y1 from w""",
+    "preview_headline": """with r as (select run_id, count(*) filter (status in ('done', 'copied', 'skipped')) as d, count(*) filter (status not in ('done', 'copied', 'skipped')) as n
+  from (select distinct run_id, file_id, status from file_results) group by 1)
+select run_id, case when n = 0 and d = 0 then 'nothing to read' when n = 0 then 'everything here has been read'
+  else n || case when n = 1 then ' document' else ' documents' end || ' to read' || case when d > 0 then ', ' || d || ' done' else '' end end as headline from r""",
+    "shown_tree": f"""with f as (select distinct relpath, string_split(relpath, '/') as parts from files),
+r as (select distinct parts[1] as path, 1 as depth, len(parts) > 1 as folder, parts[1] as top from f
+  union select distinct parts[1] || '/' || parts[2], 2, len(parts) > 2, parts[1] from f where len(parts) > 1)
+select path, cast(depth as int) as depth, folder, row_number() over (partition by top order by depth, case when folder then 0 else 1 end,
+  list_transform(string_split(path, '/'), lambda p: {NAT.format('p')}), path) as place from r""",
+    "supported_suffix": f"select distinct relpath, {SUFFIX.format('relpath')} in ('pdf', 'png', 'jpg', 'jpeg', 'tif', 'tiff', 'bmp', 'webp', 'gif') as supported from files",
+    "reserved_dirs": "select distinct relpath, list_has_any(string_split(relpath, '/'), ['_runs', '_previews', '_uploads', '_cache']) as reserved from files",
     "lines_from_words": f"""with {U}, w as (select page_id, unnest(generate_series(0, len(words) - 1)) as pos, unnest(words) as w from u where len(words) > 0)
 select page_id, cast(floor(w.y0 / 40) as bigint) as line_key, string_agg(w.text, ' ' order by pos) as line, min(w.x0) as x0, max(w.x1) as x1 from w group by 1, 2""",
     "natural_sort": f"""with f as (select distinct work_dir, relpath from files)
@@ -96,7 +133,8 @@ where e.size = cur.size_bytes and (e.mtime < 0 or abs(e.mtime - cur.modified) <=
     "ledger_twin": f"""with {CUR}, {ENTRY} select cur.run_id, cur.relpath, min(e.relpath) as twin from cur join entry e
 on e.sha256 = cur.sha256 and e.relpath <> cur.relpath and e.recipe is not distinct from cur.recipe
 where coalesce(cur.sha256, '') <> '' and list_has_all(e.kinds, ['pdf', 'txt']) group by 1, 2""",
-    "ledger_upsert": f"with {ENTRY} select work_dir, relpath, size, mtime, pages, run_id from entry",
+    "ledger_upsert": """select work_dir, relpath, v.size as size, v.mtime as mtime, v.pages as pages, v.run_id as run_id from (
+  select work_dir, relpath, max(struct_pack(recorded_at := recorded_at, size := size, mtime := mtime, pages := pages, run_id := run_id)) as v from ledger group by 1, 2)""",
     "ledger_backfill": """with e as (select distinct r.work_dir, f.relpath, f.run_id, f.size_bytes, f.page_count from file_results f join runs r on r.run_id = f.run_id
   where f.status = 'done' and r.status in ('done', 'cancelled')),
 m as (select work_dir, relpath, max(struct_pack(run_id := run_id, size_bytes := size_bytes, page_count := page_count)) as b from e group by 1, 2)

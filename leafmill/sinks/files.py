@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.operators.pages import page_report
+from leafmill.storage import delete
 
 _WRITTEN = T.StructType([T.StructField("relpath", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("path", T.StringType()), T.StructField("error", T.StringType())])
 
@@ -27,12 +27,20 @@ def _put(path: str, body: str) -> None:
 
 
 def document_text(pages: list[dict]) -> str:
-    parts = [f"----- page {p['page_no']} ({p['source']}) -----\n{(p['text'] or '').strip()}\n" for p in pages]
+    """Pages under a marker each, laid out as they stood on the page where that is known."""
+    bodies = [(p.get("laid_out") or p["text"] or "").strip("\n") if p.get("laid_out") else (p["text"] or "").strip() for p in pages]
+    parts = [f"----- page {p['page_no']} ({p['source']}) -----\n{b}\n" for p, b in zip(pages, bodies)]
     return "\n".join(parts).strip() + "\n"
 
 
 def document_json(relpath: str, pages: list[dict], settings: dict) -> str:
-    kept = [{k: v for k, v in p.items() if v is not None} for p in pages]
+    """The document with its settings; word boxes only where the settings ask for them."""
+    boxes = settings.get("include_word_boxes", True)
+    kept = [{k: v for k, v in p.items() if v is not None and k not in ("laid_out", "words")} for p in pages]
+    for own, p in zip(kept, pages):
+        own["words"] = len((p["text"] or "").split())
+        if boxes and p.get("words") is not None:
+            own["word_boxes"] = [{"text": w["text"], "box": [round(w[c], 1) for c in ("x0", "y0", "x1", "y1")], "confidence": round(w["confidence"], 1)} for w in p["words"]]
     now = datetime.now(timezone.utc).isoformat(timespec="seconds")
     return json.dumps({"tool": "leafmill", "generated_at": now, "settings": settings, "document": {"relpath": relpath, "pages": kept}}, ensure_ascii=False, default=str)
 
@@ -43,13 +51,13 @@ def write_documents(pages: DataFrame, targets: DataFrame, settings: dict) -> Dat
     Pages of a document meet in one group: an output file is written by one writer.
     """
     paths = targets.groupBy("relpath").agg(F.map_from_entries(F.collect_list(F.struct("kind", "path"))).alias("paths"))
-    cols = ["page_no", "source", "text", "confidence", "needs_review", "review_reason", "error"]
+    cols = ["page_no", "source", "text", "confidence", "needs_review", "review_reason", "error", *[c for c in ("words", "laid_out") if c in pages.columns]]
     joined = pages.select("relpath", *cols).join(paths, "relpath")
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("page_no")
         rel = pdf["relpath"].iloc[0]
-        rows = pdf[cols].astype(object).where(pdf[cols].notna(), None).to_dict("records")
+        rows = [{c: None if not hasattr(v, "__len__") and pd.isna(v) else v for c, v in r.items()} for r in pdf[cols].to_dict("records")]
         out = []
         for kind, path in dict(pdf["paths"].iloc[0]).items():
             try:
@@ -81,5 +89,7 @@ def read_cache(spark, root: str, keys: DataFrame) -> DataFrame | None:
     return cached.join(keys.select("doc_key").distinct(), "doc_key", "left_semi").dropDuplicates(["doc_key", "page_no"])
 
 
-def spark_rows(rows: Iterator[dict], schema: T.StructType) -> list[tuple]:
-    return [tuple(r.get(f.name) for f in schema) for r in rows]
+def clear_cache(spark, root: str, keys: list[str]) -> None:
+    """Forget the cached pages of the given keys."""
+    for k in keys:
+        delete(spark, f"{root}/doc_key={k}")

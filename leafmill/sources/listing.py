@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from leafmill.settings import RESERVED, SUFFIXES
 
-SCHEMA = "relpath string, path string, size_bytes bigint, modified double, page_count int, sha256 string, error string"
+SCHEMA = "file_index int, relpath string, path string, size_bytes bigint, modified double, page_count int, sha256 string, error string"
 _PAGE = re.compile(rb"/Type\s*/Page(?![a-zA-Z])")
 
 
@@ -75,8 +75,8 @@ def describe(root: str, relpath: str) -> tuple:
 
 
 class _Part(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, first: int, paths: list[str]):
+        self.first, self.paths = first, paths
 
 
 class _Reader(DataSourceReader):
@@ -87,11 +87,11 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         paths = walk(self.root, self.recursive)
-        return [_Part(paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)] or [_Part([])]
+        return [_Part(i, paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)] or [_Part(0, [])]
 
     def read(self, partition) -> Iterator[tuple]:
-        for p in partition.paths:
-            yield describe(self.root, p)
+        for k, p in enumerate(partition.paths, partition.first):  # numbered in natural order
+            yield (k, *describe(self.root, p))
 
 
 class FolderSource(DataSource):

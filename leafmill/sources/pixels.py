@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 SCHEMA = "file_index int, relpath string, page_no int, pixels binary, width int, height int, layer string"
 
 
-def decode(path: str) -> np.ndarray:
-    """Grey pixels of a picture file; ValueError where nothing here can read it."""
+def decode(path: str, frame: int = 0) -> np.ndarray:
+    """Grey pixels of a frame of a picture file; ValueError where nothing here can read it, EOFError beyond its last frame."""
     with open(path, "rb") as f:
         data = f.read()
     if data[:2] in (b"P5", b"P6"):
+        if frame:
+            raise EOFError(f"no frame {frame}")
         fields, at = [], 2
         while len(fields) < 3:
             while data[at : at + 1].isspace():
@@ -37,6 +39,7 @@ def decode(path: str) -> np.ndarray:
     except ImportError as e:
         raise ValueError("no decoder for this kind of picture") from e
     with Image.open(path) as im:
+        im.seek(frame)
         return np.asarray(im.convert("L"))
 
 
@@ -46,13 +49,12 @@ def raster(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for f in b.itertuples(index=False):
-                rows = []
-                for page_no in range(1, int(f.page_count) + 1):
+                for page_no in range(1, int(f.page_count) + 1):  # one page at a time: a long document never lies in memory
                     try:
-                        px = decode(f.path)
-                        rows.append((f.file_index, f.relpath, page_no, px.tobytes(), px.shape[1], px.shape[0], None))
-                    except (OSError, ValueError):
-                        rows.append((f.file_index, f.relpath, page_no, None, 0, 0, None))
-                yield pd.DataFrame(rows, columns=["file_index", "relpath", "page_no", "pixels", "width", "height", "layer"])
+                        px = decode(f.path, page_no - 1)
+                        row = (f.file_index, f.relpath, page_no, px.tobytes(), px.shape[1], px.shape[0], None)
+                    except (EOFError, OSError, ValueError):
+                        row = (f.file_index, f.relpath, page_no, None, 0, 0, None)
+                    yield pd.DataFrame([row], columns=["file_index", "relpath", "page_no", "pixels", "width", "height", "layer"])
 
     return files.select("file_index", "relpath", "path", "page_count").mapInPandas(run, SCHEMA)

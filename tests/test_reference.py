@@ -105,7 +105,7 @@ def test_rescue_fold_and_kernel_agree(spark):
     page = np.full((1000, 40), 255, np.uint8)
     for k, (current, tries) in enumerate(cases):
         found = turned(page, Reading(*current), Fake(tries), Settings(deskew=False, denoise=False))
-        assert got[k] == (found[0] if found else None), k
+        assert got[k] == (found.angle if found else None), k
 
 
 def test_candidate_angles(spark):
