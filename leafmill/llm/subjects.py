@@ -2,13 +2,13 @@
 
 A text is the mean of its words' vectors, a word the mean of its own vector and
 those of its character n-grams (all hashed into one table); each subject has its
-own logistic output.  The model is fitted on a bounded sample of labelled
-documents spread over partitions: every round each partition computes the
-gradient of its rows, the partial gradients are summed and one step is taken, so
-all partitions keep the same parameters.  A second fit works on single
-sentences, labelled by the first.  Scoring reads every document once: each
-sentence gets the subject it is surest of, or none, and a document has the
-subjects of at least a quarter of its sentences.
+own logistic output, which alone decides about it.  The model is fitted on a
+bounded sample of labelled documents spread over partitions: every round each
+partition computes the gradient of its rows, the partial gradients are summed and
+one step is taken, so all partitions keep the same parameters.  A second fit works
+on single sentences of the same documents, labelled by the first.  Scoring reads
+every document once: each sentence has every subject whose output is sure of it,
+and a document the subjects of at least a quarter of its sentences.
 
 Defined results: null, empty and blank texts, and texts without readable
 sentences, have no subject; labels that are null or name no subject are left
@@ -37,14 +37,16 @@ SLOTS, WIDTH = 1 << 14, 16
 TRAINING_DOCUMENTS = 20_000
 TRAINING_SENTENCES = 60_000
 ROUNDS = 25
-#: A sentence has a subject where its surest output is at least this.
-SURE = 0.35
+#: A sentence has a subject where that subject's output is at least this, whatever the others are.
+SURE = 0.5
+#: Partitions a fit's bounded rows are spread over: each sends a gradient of a megabyte a round.
+PARTITIONS = 6
 #: The first fit labels a sentence where its best output leads the next by this much.
 CLEAR = 0.5
 #: Output of a whole text's first subject at least (and of its second at most one less this) to stand for all its sentences,
 #: unless a sentence's own best output is further than NEAR ahead.
 ONLY, NEAR = 0.7, 1.5
-#: Words kept with their outputs per Python worker.
+#: Words kept with their outputs per Python worker; forgotten when there are more.
 WORDS_KEPT = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -167,6 +169,7 @@ _GRADIENT = T.StructType([T.StructField("rows", T.LongType()), T.StructField("pa
 def fit(rows: DataFrame, outputs: int, rounds: int = ROUNDS, model: Model | None = None, rate: float = 0.08) -> Model:
     """Full-gradient Adam over the feature rows; each partition sends one gradient (a megabyte) a round."""
     model = model or Model(outputs)
+    rows = rows.coalesce(PARTITIONS).persist()  # bounded, and read every round; a lost executor's share is read again from its table
     for r in range(rounds):
         parts = [p.copy() for p in model.parts]
 
@@ -188,42 +191,57 @@ def fit(rows: DataFrame, outputs: int, rounds: int = ROUNDS, model: Model | None
             break
         total = [sum(np.frombuffer(s["parts"][k], np.float32).astype(np.float64) for s in sent) for k in range(3)]
         model.step([(t / n).reshape(p.shape).astype(np.float32) for t, p in zip(total, model.parts)], rate * (1 - 0.7 * r / rounds))
+    rows.unpersist()
     return model
 
 
 class Scorer:
-    """Outputs of words and sentences under a fitted model."""
+    """Outputs of words and sentences under a fitted model, many sentences at a time."""
 
     def __init__(self, parts: list[np.ndarray], function_words: frozenset[str]):
         self.vectors, self.outputs, self.bias = parts
         self.function_words = function_words
-        self.cache: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        out = self.cache.get(w)
-        if out is None:
-            if len(self.cache) >= WORDS_KEPT:
-                self.cache.clear()
-            out = self.cache[w] = (self.vectors[slots_of(w)].mean(0) @ self.outputs) * SCALE
-        return out
-
-    def outputs_of(self, words: Sequence[str]) -> np.ndarray:
-        z = sum(map(self.word, words)) / len(words) + self.bias
-        return 1 / (1 + np.exp(-z))
-
-    def shares(self, text: str | None) -> tuple[int, Counter]:
-        """(readable sentences, sentences by subject number)."""
-        n, found = 0, Counter()
-        for s in sentences(text):
-            words = words_of(s)
-            if not readable(words, self.function_words):
-                continue
-            n += 1
-            p = self.outputs_of(words)
-            k = int(p.argmax())
-            if p[k] >= SURE:
-                found[k] += 1
-        return n, found
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((1024, len(self.bias)), self.vectors.dtype)
+
+    def places(self, words: Sequence[str]) -> list[int]:
+        """Rows of the words in the table of outputs; words not met before are added at once."""
+        index = self.index
+        new = [w for w in dict.fromkeys(words) if w not in index]
+        if new:
+            slots = [slots_of(w) for w in new]
+            starts = np.cumsum([0] + [len(x) for x in slots[:-1]])
+            own = np.add.reduceat(self.vectors[[k for x in slots for k in x]], starts, axis=0) / np.array([[len(x)] for x in slots], self.vectors.dtype)
+            first = len(index)
+            while first + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[first : first + len(new)] = (own @ self.outputs) * SCALE
+            index.update((w, first + k) for k, w in enumerate(new))
+        return [index[w] for w in words]
+
+    def logits(self, sentences_: Sequence[Sequence[str]]) -> np.ndarray:
+        """One row of outputs, before the logistic, per sentence of at least one word."""
+        if len(self.index) > WORDS_KEPT:
+            self.forget()
+        flat = [w for s in sentences_ for w in s]
+        if not flat:
+            return np.zeros((0, len(self.bias)), np.float32)
+        n = np.array([len(s) for s in sentences_])
+        rows = self.places(flat)
+        return np.add.reduceat(self.table[rows], np.r_[0, np.cumsum(n)[:-1]], axis=0) / n[:, None] + self.bias
+
+    def readable(self, text: str | None) -> list[list[str]]:
+        return [w for s in sentences(text) if readable(w := words_of(s), self.function_words)]
+
+    def shares(self, texts: Sequence[str | None]) -> list[tuple[int, np.ndarray]]:
+        """(readable sentences, how many of them have each subject) of every text."""
+        own = [self.readable(t) for t in texts]
+        sure = 1 / (1 + np.exp(-self.logits([w for t in own for w in t]))) >= SURE
+        upto = np.cumsum([0] + [len(t) for t in own])
+        return [(len(t), sure[a:b].sum(0)) for t, a, b in zip(own, upto, upto[1:])]
 
 
 def clean_labels(labels: DataFrame, subjects: Sequence[str]) -> DataFrame:
@@ -241,7 +259,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: Sequence[str], func
     """Both fits over a bounded sample of labelled documents."""
     size = len(subjects)
     known = clean_labels(labels, subjects).orderBy(F.xxhash64("doc_id")).limit(TRAINING_DOCUMENTS)
-    sample = documents.select("doc_id", "text").join(known, "doc_id").where("text is not null").repartition(12, "doc_id")
+    sample = documents.select("doc_id", "text").join(known, "doc_id").where("text is not null").dropDuplicates(["doc_id"]).repartition(PARTITIONS, "doc_id")
     sample = materialise(sample, "labelled")
 
     def document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,39 +280,37 @@ def train(documents: DataFrame, labels: DataFrame, subjects: Sequence[str], func
         return None
     model = fit(rows, size)
     parts = model.parts
-    # the second fit also reads documents nobody labelled: a share of all, by hash, of a bounded expected number
-    share = min(1.0, TRAINING_DOCUMENTS / max(1, documents.count()))
-    pool = documents.where("doc_id is not null and text is not null").where(F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1_000_000)) < int(share * 1_000_000))
-    pool = materialise(pool.select("text").repartition(12), "pool")
-    keep = min(1.0, TRAINING_SENTENCES / max(1, pool.count() * 8))
+    # sentences of the labelled documents, a share of them by hash, of a bounded expected number
+    keep = min(1.0, TRAINING_SENTENCES / max(1, sample.count() * 8))
 
     def sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, block = Scorer(parts, function_words), Block(size)
         for b in batches:
             for text in b["text"].to_pylist():
-                own = [(s, w) for s in sentences(text) if readable(w := words_of(s), function_words)]
+                own = scorer.readable(text)
                 if not own:
                     continue
-                each = [sum(map(scorer.word, w)) / len(w) + scorer.bias for _, w in own]
+                each = scorer.logits(own)
                 # where the whole text speaks clearly of one subject, its sentences are taken to do so too
-                whole = 1 / (1 + np.exp(-np.average(each, axis=0, weights=[len(w) for _, w in own])))
+                whole = 1 / (1 + np.exp(-np.average(each, axis=0, weights=[len(w) for w in own])))
                 top = np.argsort(whole)[::-1]
-                only = int(top[0]) if whole[top[0]] >= ONLY and whole[top[1]] <= 1 - ONLY else None
-                for (s, words), z in zip(own, each):
-                    if zlib.crc32(s.encode()) % 10_000 >= keep * 10_000:
+                only = int(top[0]) if whole[top[0]] >= ONLY and (size == 1 or whole[top[1]] <= 1 - ONLY) else None
+                for words, z in zip(own, each):
+                    if zlib.crc32(" ".join(words).encode()) % 10_000 >= keep * 10_000:
                         continue
                     best = np.sort(z)[::-1]
+                    lead = best[0] - best[1] if size > 1 else best[0]
                     if only is not None and z[only] >= best[0] - NEAR:
                         block.add(words, [only])
                     else:
-                        block.add(words, [int(z.argmax())] if best[0] - best[1] >= CLEAR else [])
+                        block.add(words, [int(z.argmax())] if lead >= CLEAR else [])
                     if len(block.starts) >= BLOCK:
                         yield from_rows(_FEATURES, [block.row()])
                         block = Block(size)
         if block.starts:
             yield from_rows(_FEATURES, [block.row()])
 
-    second = materialise(pool.mapInArrow(sentence_rows, _FEATURES), "sentence-features")
+    second = materialise(sample.mapInArrow(sentence_rows, _FEATURES), "sentence-features")
     return fit(second, size, rounds=ROUNDS + 10, model=Model(size))
 
 
@@ -309,10 +325,8 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: Sequence[str]
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(parts, function_words)
         for b in batches:
-            out = []
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                n, found = scorer.shares(text)
-                out += [(doc_id, names[k]) for k, c in found.items() if c >= share * n]
+            found = scorer.shares(b["text"].to_pylist())
+            out = [(d, names[k]) for d, (n, counts) in zip(b["doc_id"].to_pylist(), found) for k in np.flatnonzero(counts >= max(1, share * n))]
             yield from_rows(schema, out)
 
     rows = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")

@@ -62,7 +62,7 @@ def test_gradient_against_differences():
         s = subjects.Scorer(parts, FW)
         out = 0.0
         for words, t in ((["alpha", "beta", "alpha"], y[0]), (["gamma"], y[1])):
-            p = s.outputs_of(words)
+            p = 1 / (1 + np.exp(-s.logits([words])[0]))
             out -= (t * np.log(p) + (1 - t) * np.log(1 - p)).sum()
         return out
 
@@ -80,3 +80,18 @@ def test_sentences():
     t = '----- page 1 (ocr) -----\nThe clerk wrote: "keep it for\nnow". A co-\nurt sat in 2011. Then > rest'
     assert subjects.sentences(t) == ['The clerk wrote: "keep it for now".', "A court sat in 2011.", "Then > rest"] or len(subjects.sentences(t)) >= 2
     assert subjects.sentences(None) == [] and subjects.sentences(" \n") == []
+
+
+def test_outputs_decide_by_themselves():
+    """A sentence both of whose subjects are sure counts for both; words are the same whatever was read before them."""
+    import numpy as np
+
+    m = subjects.Model(2)
+    parts = [np.full_like(m.parts[0], 0.1), np.zeros_like(m.parts[1]), np.array([2.0, 1.0], np.float32)]
+    s = subjects.Scorer(parts, FW)
+    word = next(iter(FW))
+    (n, counts), (none, empty) = s.shares([f"The {word} {word} was there and the {word} too.", None])
+    assert (n, counts.tolist()) == (1, [1, 1]) and (none, empty.tolist()) == (0, [0, 0])
+    once = s.logits([["alpha", "beta"]])
+    s.logits([["gamma"] * 3, ["delta"]])
+    assert np.allclose(once, s.logits([["alpha", "beta"]]))
