@@ -15,8 +15,11 @@ shingles here are of three and four words (five would lose noisy passages).
 Shingles that several items share (closing questions, stock phrases) take no
 part in signatures, yet count in the verification.
 
-Items are a fixed, small list and go to the workers in blocks; every block is
-held against all documents in one pass over them, without a shuffle.  Defined
+Items are a fixed, small list.  Their index is built on the driver, a block of
+ITEM_BLOCK items at a time, and goes to the workers with the tasks; every block is
+held against all documents in one scan of its own, without a shuffle.  A list that
+grows with the corpus would need another way: driver memory and scans grow with it.
+Of an item with fewer than ten shingles of its own, all shingles are signed.  Defined
 results: null, empty and blank texts and items hold nothing; items of fewer
 words than a shingle are never found; repeated rows count once; documents of any
 length are read whole.
@@ -193,7 +196,7 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     rows = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text")
     blocks: list[Index] = []
     part: list[tuple[int, list[str]]] = []
-    for r in rows.toLocalIterator():  # block by block: the list of items is never whole in one place
+    for r in rows.toLocalIterator():
         part.append((r["item_id"], words_of(r["text"])))
         if len(part) == ITEM_BLOCK:
             blocks.append(Index(part))

@@ -12,7 +12,7 @@ and at the pivot are counted; the range that cannot hold the wanted rank is
 discarded; and so on until the pivot is the answer or its range holds one value.
 At least a quarter of the open rows goes with every pivot, so the number of
 rounds grows with the logarithm of the distinct values.  Each round reads the
-pieces once and shuffles only proposals and counts: a few rows per batch and
+pieces twice (for proposals, then for counts) and shuffles only proposals and counts: a few rows per batch and
 open target, wherever the rows of a group lie and however large it is.
 
 Defined results: a percentile is the smallest value v with at least p of the
@@ -23,6 +23,7 @@ row; an empty table gives an empty result; infinite values are ordinary values.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -92,15 +93,15 @@ def multi_select(summary: DataFrame, groups: Sequence[str], permille: Sequence[i
     stays short and a lost executor costs one round at most.
     """
     spark = summary.sparkSession
-    pieces_ = materialise(
-        summary.groupBy(*groups, "value").agg(F.sum("n").alias("n")).select(*groups, F.xxhash64(*[F.coalesce(F.col(g).cast("string"), F.lit("\0")) for g in groups]).alias("gid"), "value", "n"),
-        "pieces",
-    )
-    # groups are named by a hash in the rounds; the true keys come back in the end, and two keys on one hash would show there
-    names = pieces_.groupBy("gid", *groups).agg(F.sum("n").alias("total"))
-    names = materialise(names, "groups")
-    if names.groupBy("gid").count().where("count > 1").limit(1).count():
-        raise ValueError("two groups share a hash")
+    values = materialise(summary.groupBy(*groups, "value").agg(F.sum("n").alias("n")), "pieces")
+    totals = materialise(values.groupBy(*groups).agg(F.sum("n").alias("total")), "groups")
+    # groups are named by a hash in the rounds, under the first salt that keeps them all apart; the true keys come back in the end
+    for salt in itertools.count():
+        gid = F.xxhash64(F.lit(salt), *[F.coalesce(F.col(g).cast("string"), F.lit("\0")) for g in groups]).alias("gid")
+        names = totals.select(gid, *groups, "total")
+        if names.groupBy("gid").count().where("count > 1").isEmpty():
+            break
+    pieces_ = values.select(gid, "value", "n")
     targets = F.explode(F.array(*[F.lit(int(p)) for p in permille]))
     state = names.select("gid", targets.alias("p"), "total").select(
         "gid",

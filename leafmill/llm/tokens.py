@@ -5,19 +5,21 @@ from a property of the merge order: a token sequence is the BPE encoding of its
 bytes exactly if every neighbouring pair of it is, i.e. if no merge of higher
 priority would have crossed the border between the two tokens.  So for every
 prefix of a piece there is one last token whose pair with the last token of the
-rest is compatible; an automaton over the vocabulary (suffix links walk from the
-longest token that ends at a position to the shorter ones) proposes the
-candidates, the pair test picks the unique one, and back-pointers give the ids.
+rest is compatible; a pattern automaton over the vocabulary (its suffix links walk
+from the longest token that ends at a position to the shorter ones, which is what a
+suffix automaton would be asked for) proposes the candidates, the pair test picks
+the unique one, and back-pointers give the ids.
 
 Defined results: a null text and an empty text give an empty list; strings that
 look like special tokens are ordinary text; lone surrogates cannot occur in
-Spark strings.  Rows keep their ids whatever their length; repeated doc_ids
-count once if the rows are equal.
+Spark strings.  Rows keep their ids whatever their length; every row has its own
+answer, so a doc_id that repeats comes out as often as it goes in.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -172,6 +174,12 @@ def load_encoder(name: str = DEFAULT_TOKENIZER, directory: str | None = None) ->
     return PrefixEncoder(ranks, public_tokenizers.PATTERN)
 
 
+@functools.lru_cache(maxsize=2)
+def kept_encoder(name: str, directory: str | None) -> PrefixEncoder:
+    """The encoder this Python worker has built before, for whichever task."""
+    return load_encoder(name, directory)
+
+
 def encode_texts(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str = DEFAULT_TOKENIZER, directory: str | None = None
 ) -> DataFrame:
@@ -180,13 +188,9 @@ def encode_texts(
     Only the id and the text reach Python, in Arrow batches; ids of repeated pieces
     come from a bounded per-worker cache, so a long text costs its length.
     """
-    encoders: dict[tuple, PrefixEncoder] = {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = (tokenizer, directory)
-        if key not in encoders:
-            encoders[key] = load_encoder(tokenizer, directory)
-        encode = encoders[key].encode
+        encode = kept_encoder(tokenizer, directory).encode
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "ids": [encode(t) for t in b["text"]]})
 
