@@ -112,9 +112,10 @@ def words_from_chars(chars: Column) -> Column:
     last = F.transform(F.filter(flags, lambda x: ~x["goes"]), lambda x: x["i"])
 
     def word(span):
-        own = F.slice(chars, span["a"] + 1, span["b"] - span["a"] + 1)
-        box = [f(own[c]).alias(c) for f, c in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))]
-        return F.struct(F.array_join(F.transform(own, lambda x: x["c"]), "").alias("word"), *box, F.lit(100.0).alias("confidence"))
+        # (places are looked up one by one: a slice would copy the whole page for every word)
+        part = lambda k: F.transform(F.sequence(span["a"], span["b"]), lambda i: F.get(chars, i)[k])
+        box = [f(part(k)).alias(k) for f, k in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))]
+        return F.struct(F.array_join(part("c"), "").alias("word"), *box, F.lit(100.0).alias("confidence"))
 
     return F.when(F.size(chars) > 0, F.transform(F.arrays_zip(first.alias("a"), last.alias("b")), word))
 
