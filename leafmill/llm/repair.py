@@ -28,8 +28,10 @@ pages, and three, have it letter for letter.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -95,9 +97,9 @@ def page_number_of(line: str) -> tuple[int, bool] | None:
     return (int(n), explicit) if n.isdigit() else None
 
 
-def _edges(lines: list[str]) -> list[tuple[int, str, int]]:
-    """(line number, side, place from the edge) of the non-blank lines at both edges."""
-    full = [i for i, s in enumerate(lines) if s and not s.isspace()]
+def _edges(lines: list[list[str]]) -> list[tuple[int, str, int]]:
+    """(line number, side, place from the edge) of the non-blank lines at both edges; a line is the list of its tokens."""
+    full = [i for i, own in enumerate(lines) if own]
     top, bottom = full[:EDGE], full[EDGE:][-EDGE:]
     return [(i, "T", k) for k, i in enumerate(top)] + [(i, "B", len(bottom) - 1 - k) for k, i in enumerate(bottom)]
 
@@ -114,6 +116,22 @@ def _bare(token: str) -> str:
     return w
 
 
+def _unbroken(lines: list[list[str]]) -> list[list[str]]:
+    """The tokens of every line without the halves of broken words, which are no words."""
+    out = []
+    half = False
+    for own in lines:
+        if own:
+            if half:
+                own = own[1:]
+            last = own[-1] if own else ""
+            half = last[-1:] in _BREAKS and len(last) > 1 and last[-2].isalpha()
+            if half:
+                own = own[:-1]
+        out.append(own)
+    return out
+
+
 def _shape(lines: list[str], i: int) -> str:
     """Shape of the line beside an edge line: end of page, blank, item, cells, text."""
     if not 0 <= i < len(lines):
@@ -177,7 +195,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def vocabulary() -> pa.RecordBatch:
         n: Counter = Counter()
         caps: Counter = Counter()
-        for w, c in words.items():
+        for token, c in words.items():
+            w = _bare(token)
             low = w.lower()
             n[low] += c
             if w[:1].isupper():
@@ -193,8 +212,9 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text or text.isspace():
                 continue
             lines = text.split("\n")
+            tokens = [s.split() for s in lines]
             edges.append(("p", file_id, page_id, page_no, None, None, None, None, None, None))
-            for i, side, _ in _edges(lines):
+            for i, side, _ in _edges(tokens):
                 s = lines[i].strip()
                 if _prose_line(s):
                     edges.append(("h", file_id, page_id, page_no, i, side, None, xxhash.xxh64_hexdigest(s), None, None))
@@ -202,21 +222,10 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number = page_number_of(s)
                 is_number = number is not None and (number[1] or number[0] == page_no)
                 key = s
-                if not is_number and (m := _TRAILING.search(s)) and m[1].translate(_DIGIT) == str(page_no):
+                if not is_number and s[-1] in "0123456789lIO|" and (m := _TRAILING.search(s)) and m[1].translate(_DIGIT) == str(page_no):
                     key = s[: m.start()].rstrip()
                 edges.append(("e", file_id, page_id, page_no, i, side, s, key, is_number, _shape(lines, i + 1 if side == "T" else i - 1)))
-            # the halves of broken words are no words
-            tokens: list[str] = []
-            half = False
-            for s in lines:
-                own = s.split()
-                if not own:
-                    continue
-                if half:
-                    own = own[1:]
-                half = bool(own) and len(own[-1]) > 1 and own[-1][-1] in _BREAKS and own[-1][-2].isalpha()
-                tokens += own[:-1] if half else own
-            words.update(map(_bare, tokens))
+            words.update(chain.from_iterable(_unbroken(tokens)))
             if low:
                 flags.update({_bare(w).lower() for w in low if w})
         if len(words) > 400_000:
@@ -385,10 +394,20 @@ def corrections(vocabulary: DataFrame, wanted: DataFrame | None = None) -> DataF
 _FOLD = str.maketrans("áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc")
 
 
+class _Codes(dict):
+    """Character to its code, as a character: 26 letters, one class for all else."""
+
+    def __missing__(self, key: int) -> str:
+        return chr(27)
+
+
+_CODES = _Codes({ord(x): chr(_FOLD.get(ord(x), ord(x)) - 96) for x in "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, _FOLD))})
+
+
 def _triples(word: str) -> list[int]:
     """Codes of the word's letter triples, ends marked; 26 letters, one class for the end and one for all else."""
-    c = [0, *(ord(x) - 96 if "a" <= x <= "z" else 27 for x in word.lower().translate(_FOLD)), 0]
-    return [(x * 28 + y) * 28 + z for x, y, z in zip(c, c[1:], c[2:])]
+    c = b"\0" + word.lower().translate(_CODES).encode("latin-1") + b"\0"
+    return [x * 784 + y * 28 + z for x, y, z in zip(c, c[1:], c[2:])]
 
 
 class Letters:
@@ -584,53 +603,51 @@ TOKENS_KEPT = 400_000
 _CORRECTABLE = re.compile(r"[\w@(|$!'’-]+")
 
 
-def _judge(token: str, known: frozenset[str], letters: Letters) -> tuple[int, int, str | None, str]:
-    """(counts as a word, is strange, the word if it may need a correction, its lower case)."""
+def _judge(token: str, known: frozenset[str], letters: Letters) -> tuple[int, tuple[str, str] | None]:
+    """(0, or 1 if it counts as a word, or 2 if it is a strange one, and 3 more if it may need a correction; then the word and its lower case)."""
     w = _bare(token)
     low = w.lower()
     n = sum(map(str.isalpha, low))
     if not n:
-        return (0, 0, None, low)
+        return (0, None)
     counts = len(low) >= 3 and sum(map(str.isdigit, low)) * 2 < len(low)
     strange = counts and letters.score(low) < letters.least
     wanted = low not in known and "_" not in low and _CORRECTABLE.fullmatch(low)
-    return (int(counts), int(strange), w if wanted else None, low)
+    return (counts + strange + (3 if wanted else 0), (w, low) if wanted else None)
 
 
 def _second_pass(known: frozenset[str], letters: Letters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judged: dict[str, tuple] = {}
+        judged: dict[str, int] = {}
+        wanted: dict[str, tuple[str, str]] = {}
         for b in batches:
             rows: list[tuple] = []
             if len(judged) > TOKENS_KEPT:
                 judged.clear()
+                wanted.clear()
             for page_id, text in zip(b["page_id"].to_pylist(), b["text"].to_pylist()):
                 if not text or text.isspace():
                     continue
                 lines = text.split("\n")
-                edge = {i for i, _, _ in _edges(lines)}
+                split = [s.split() for s in lines]
+                edge = {i for i, _, _ in _edges(split)}
                 skip = {i for i in edge if page_number_of(lines[i].strip())}
-                total, strange, own = 0, 0, []
-                half = False
-                for i, s in enumerate(lines):
-                    tokens = s.split()
-                    if not tokens:
-                        continue
-                    if half:
-                        tokens = tokens[1:]
-                    half = bool(tokens) and len(tokens[-1]) > 1 and tokens[-1][-1] in _BREAKS and tokens[-1][-2].isalpha()
-                    if half:
-                        tokens = tokens[:-1]
-                    for t in tokens:
-                        j = judged.get(t)
-                        if j is None:
-                            j = judged[t] = _judge(t, known, letters)
-                        total += j[0]
-                        strange += j[1]
-                        if j[2] is not None:
-                            own.append((page_id, i if i in edge else -1, "misread", j[2], j[3], None, None))
-                if strange * 2 <= total + 2:
-                    rows += dict.fromkeys(own)
+                split = _unbroken(split)
+                tokens = list(chain.from_iterable(split))
+                codes = list(map(judged.get, tokens))
+                if None in codes:
+                    for k, t in enumerate(tokens):
+                        if codes[k] is None:
+                            if t not in judged:
+                                judged[t], fix = _judge(t, known, letters)
+                                if fix:
+                                    wanted[t] = fix
+                            codes[k] = judged[t]
+                strange, total = codes.count(2) + codes.count(5), len(codes) - codes.count(0) - codes.count(3)
+                if strange * 2 <= total + 2 and (doubted := [k for k, c in enumerate(codes) if c >= 3]):
+                    ends = list(accumulate(map(len, split)))
+                    own = ((bisect_right(ends, k), wanted[tokens[k]]) for k in doubted)
+                    rows += dict.fromkeys((page_id, i if i in edge else -1, "misread", *x, None, None) for i, x in own)
                 for i, first, mark, second in _broken(lines, skip):
                     plain = first + second
                     if not plain.translate(_JOINTS).isalpha():

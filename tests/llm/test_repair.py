@@ -163,3 +163,20 @@ def test_boosting_learns_an_interaction():
     m = Boosted(rounds=40).fit(x[:3000], y[:3000])
     assert ((m.probability(x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
     assert Boosted().fit(np.zeros((0, 3)), np.zeros(0)).probability(np.zeros((2, 3))).shape == (2,)
+
+
+def test_the_first_pass_strips_a_token_once_however_often_it_stands(monkeypatch):
+    import pyarrow as pa
+
+    from leafmill.llm import repair
+
+    calls = []
+    bare = repair._bare
+    monkeypatch.setattr(repair, "_bare", lambda token: calls.append(token) or bare(token))
+    text = "Some words, (some) words- \nby hand; some words\n\nand so on"
+    rows = {"page_id": [1, 2, 3], "file_id": [1, 1, 1], "page_no": [1, 2, 3], "text": [text, text, " "], "low": [["hand;"], None, None]}
+    out = [r for b in repair._first_pass(iter(pa.RecordBatch.from_pydict(rows).slice(k, 1) for k in range(3))) for r in b.to_pylist() if r["what"] == "w"]
+    assert {r["word"]: (r["n"], r["flagged"], r["caps"]) for r in out} == {
+        "some": (6, 0, 2), "words": (4, 0, 0), "hand": (2, 1, 0), "and": (2, 0, 0), "so": (2, 0, 0), "on": (2, 0, 0),
+    }
+    assert len(calls) == len(set(calls)) + 1  # the flagged word is looked up besides
