@@ -1,6 +1,7 @@
 import random
+import re
 
-from leafmill.llm.leaks import Index, covered, leaked, places, shingles, words_of
+from leafmill.llm.leaks import Index, covered, leaked, places, shingles, words_as_written, words_of
 
 
 def made(rng, n):
@@ -60,3 +61,16 @@ def test_half_of_an_item_with_changed_words():
         assert ix.found(doc) == [k]
         less = item[: len(item) // 3]
         assert ix.found(words_of(made(rng, 60)) + less + words_of(made(rng, 60))) == []
+
+
+def test_words_are_the_runs_of_letters_and_digits():
+    marker = re.compile(r"(?m)^\s*-{3,}.*-{3,}\s*$|^\s*>+ ?")
+    broken = re.compile(r"(?<=[^\W\d_])[-‐¬\xad] ?\n(?:> )?\s*(?=[^\W\d_])")
+    fold = str.maketrans({"0": "o", "1": "l", "5": "s", "@": "a", "6": "b", "|": "l", "$": "s", "ﬁ": "fi", "ﬂ": "fl"})
+    rng = random.Random(1)
+    odd = "abI0156@|$ﬁﬂéßİΣς٣½²_-‐¬\xad’“ \t\n\r\x0b\x1c\x1f\x85\xa0　\x00\x7f>.—漢́ªZ" + "ab \n->" * 4
+    for _ in range(20_000):
+        text = "".join(rng.choice(odd) for _ in range(rng.randint(1, 25)))
+        plain = broken.sub("", marker.sub("", text)).lower()
+        assert words_of(text) == re.findall(r"[^\W_]+", plain.translate(fold))
+        assert words_as_written(text) == re.findall(r"[^\W_]+", plain)
