@@ -222,7 +222,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number = page_number_of(s)
                 is_number = number is not None and (number[1] or number[0] == page_no)
                 key = s
-                if not is_number and s[-1] in "0123456789lIO|" and (m := _TRAILING.search(s)) and m[1].translate(_DIGIT) == str(page_no):
+                # (the end is looked at first: few lines end in their page's number)
+                if not is_number and s[-len(str(page_no)) :].translate(_DIGIT) == str(page_no) and (m := _TRAILING.search(s)) and m[1].translate(_DIGIT) == str(page_no):
                     key = s[: m.start()].rstrip()
                 edges.append(("e", file_id, page_id, page_no, i, side, s, key, is_number, _shape(lines, i + 1 if side == "T" else i - 1)))
             words.update(chain.from_iterable(_unbroken(tokens)))
@@ -603,28 +604,51 @@ TOKENS_KEPT = 400_000
 _CORRECTABLE = re.compile(r"[\w@(|$!'’-]+")
 
 
-def _judge(token: str, known: frozenset[str], letters: Letters) -> tuple[int, tuple[str, str] | None]:
-    """(0, or 1 if it counts as a word, or 2 if it is a strange one, and 3 more if it may need a correction; then the word and its lower case)."""
-    w = _bare(token)
-    low = w.lower()
-    n = sum(map(str.isalpha, low))
-    if not n:
-        return (0, None)
-    counts = len(low) >= 3 and sum(map(str.isdigit, low)) * 2 < len(low)
+def _judge(low: str, known: frozenset[str], letters: Letters) -> int:
+    """0, or 1 if it counts as a word, or 2 if it is a strange one, and 3 more if it may need a correction; the word is in lower case."""
+    plain = low.isalpha()
+    if not plain and not any(map(str.isalpha, low)):
+        return 0
+    counts = len(low) >= 3 and (plain or sum(map(str.isdigit, low)) * 2 < len(low))
     strange = counts and letters.score(low) < letters.least
-    wanted = low not in known and "_" not in low and _CORRECTABLE.fullmatch(low)
-    return (counts + strange + (3 if wanted else 0), (w, low) if wanted else None)
+    wanted = low not in known and (plain or "_" not in low and _CORRECTABLE.fullmatch(low))
+    return counts + strange + (3 if wanted else 0)
+
+
+class _Judged(dict):
+    """Token to its code (see ``_judge``); ``wanted`` has word and lower case of those that may need a correction. A word is judged once, whatever stands around it."""
+
+    def __init__(self, known: frozenset[str], letters: Letters):
+        self.known, self.letters = known, letters
+        self.codes: dict[str, int] = {}
+        self.wanted: dict[str, tuple[str, str]] = {}
+
+    def __missing__(self, token: str) -> int:
+        w = _bare(token)
+        low = w.lower()
+        if (code := self.codes.get(low)) is None:
+            self.codes[low] = code = _judge(low, self.known, self.letters)
+        if code >= 3:
+            self.wanted[token] = (w, low)
+        self[token] = code
+        return code
+
+    def clear(self) -> None:
+        super().clear()
+        self.codes.clear()
+        self.wanted.clear()
+
+
+_DOUBTED = re.compile(rb"[\x03-\x05]")
 
 
 def _second_pass(known: frozenset[str], letters: Letters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judged: dict[str, int] = {}
-        wanted: dict[str, tuple[str, str]] = {}
+        judged = _Judged(known, letters)
         for b in batches:
             rows: list[tuple] = []
             if len(judged) > TOKENS_KEPT:
                 judged.clear()
-                wanted.clear()
             for page_id, text in zip(b["page_id"].to_pylist(), b["text"].to_pylist()):
                 if not text or text.isspace():
                     continue
@@ -634,19 +658,11 @@ def _second_pass(known: frozenset[str], letters: Letters):
                 skip = {i for i in edge if page_number_of(lines[i].strip())}
                 split = _unbroken(split)
                 tokens = list(chain.from_iterable(split))
-                codes = list(map(judged.get, tokens))
-                if None in codes:
-                    for k, t in enumerate(tokens):
-                        if codes[k] is None:
-                            if t not in judged:
-                                judged[t], fix = _judge(t, known, letters)
-                                if fix:
-                                    wanted[t] = fix
-                            codes[k] = judged[t]
+                codes = bytes(map(judged.__getitem__, tokens))
                 strange, total = codes.count(2) + codes.count(5), len(codes) - codes.count(0) - codes.count(3)
-                if strange * 2 <= total + 2 and (doubted := [k for k, c in enumerate(codes) if c >= 3]):
+                if strange * 2 <= total + 2 and (doubted := [m.start() for m in _DOUBTED.finditer(codes)]):
                     ends = list(accumulate(map(len, split)))
-                    own = ((bisect_right(ends, k), wanted[tokens[k]]) for k in doubted)
+                    own = ((bisect_right(ends, k), judged.wanted[tokens[k]]) for k in doubted)
                     rows += dict.fromkeys((page_id, i if i in edge else -1, "misread", *x, None, None) for i, x in own)
                 for i, first, mark, second in _broken(lines, skip):
                     plain = first + second

@@ -180,3 +180,32 @@ def test_the_first_pass_strips_a_token_once_however_often_it_stands(monkeypatch)
         "some": (6, 0, 2), "words": (4, 0, 0), "hand": (2, 1, 0), "and": (2, 0, 0), "so": (2, 0, 0), "on": (2, 0, 0),
     }
     assert len(calls) == len(set(calls)) + 1  # the flagged word is looked up besides
+
+
+def test_the_second_pass_judges_a_word_once_whatever_stands_around_it(monkeypatch):
+    import pyarrow as pa
+
+    from leafmill.llm import repair
+
+    judged = []
+    judge = repair._judge
+    monkeypatch.setattr(repair, "_judge", lambda low, *x: judged.append(low) or judge(low, *x))
+    letters = repair.Letters(repair.np.ones(28**3))
+    text = 'The modem, (modem) "modem" Modem. a_b 12 1a 12a4 x²y the\nend modern'
+    pages = pa.RecordBatch.from_pydict({"page_id": [1, 2], "text": [text, text]})
+    (out,) = repair._second_pass(frozenset({"the", "end"}), letters)(iter([pages]))
+    assert "modem" in judged and len(judged) == len(set(judged))
+    words = {r["token"] for r in out.to_pylist() if r["page_id"] == 1 and r["kind"] == "misread"}
+    assert {"modem", "Modem", "modern", "1a", "12a4"} <= words and not words & {"The", "the", "end", "12", "a_b"}
+
+
+def test_a_line_loses_its_own_page_number_only():
+    import pyarrow as pa
+
+    from leafmill.llm import repair
+
+    lines = ["Annual Report  l2", "Annual Report 13", "Annual Report 12", "Report page 12", "Report12", "None"]
+    rows = {"page_id": range(7), "file_id": [1] * 7, "page_no": [12] * 6 + [None], "text": [*lines, "None"], "low": [[]] * 7}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(list(v), pa.list_(pa.string()) if k == "low" else None) for k, v in rows.items()})
+    got = [r["key"] for b in repair._first_pass(iter([batch])) for r in b.to_pylist() if r["what"] == "e"]
+    assert got == ["Annual Report", "Annual Report 13", "Annual Report", "Report", "Report12", "None", "None"]
